@@ -3,10 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import simhash
+from rolecast.llm import divergence, simhash
 from rolecast.llm.common import table
 
 
+def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether its distributions are near enough to its language's."""
+    return divergence.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its fingerprint (16 hex digits) and the least doc_id reachable over links of 4 bits or fewer."""
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -14,6 +19,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_divergence": op7_divergence,
     "op8_simhash": op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
