@@ -3,10 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import divergence, simhash
+from rolecast.llm import divergence, imatch, simhash
 from rolecast.llm.common import table
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return imatch.edits(table(spark, sf_dir, "documents"))
+
+
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether its distributions are near enough to its language's."""
     return divergence.quality_scores(table(spark, sf_dir, "documents"))
@@ -19,6 +24,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_imatch": op4_imatch,
     "op7_divergence": op7_divergence,
     "op8_simhash": op8_simhash,
 }
