@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import divergence, imatch, simhash
+from rolecast.llm import divergence, imatch, mixing, simhash
 from rolecast.llm.common import table
 
 
@@ -12,6 +12,12 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edits(table(spark, sf_dir, "documents"))
 
 
+def op6_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a low-discrepancy mix of the sources takes of every document."""
+    account = mixing.mix(table(spark, sf_dir, "documents"))[1]
+    return account.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether its distributions are near enough to its language's."""
     return divergence.quality_scores(table(spark, sf_dir, "documents"))
@@ -25,6 +31,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_imatch": op4_imatch,
+    "op6_schedule": op6_schedule,
     "op7_divergence": op7_divergence,
     "op8_simhash": op8_simhash,
 }
