@@ -3,8 +3,22 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import divergence, imatch, mixing, simhash
-from rolecast.llm.common import table
+from rolecast.llm import chat, divergence, imatch, licenses, mixing, simhash, warc
+from rolecast.llm.common import scratch, table
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence sentences and licences of every document, as lists joined by commas."""
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences")]
+    return found.select("doc_id", *joined, "n_unknown", "status")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page and reads the archive back."""
+    path = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.catalogue(spark, path).withColumnRenamed("key", "page_id")
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +43,54 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats every conversation, and one made of control strings, as a prefix tree, and reads the tree back."""
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(*chat.prefix_tree(given.unionByName(extra)))
+
+
 QUERIES = {
+    "op2_licenses": op2_licenses,
+    "op3_warc": op3_warc,
     "op4_imatch": op4_imatch,
     "op6_schedule": op6_schedule,
     "op7_divergence": op7_divergence,
     "op8_simhash": op8_simhash,
+    "op9_chat": op9_chat,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
+                strlen(coalesce(html, ''))::BIGINT AS payload_bytes
+            FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY html) AS first,
+                row_number() OVER (PARTITION BY html, page_id ORDER BY page_id) AS turn
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes < 100 OR (page_id = first AND turn = 1) THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN payload_bytes < 100 OR (page_id = first AND turn = 1) THEN NULL ELSE first END AS refers_to
+        FROM f
+    """,
+    "op9_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), e AS (
+            SELECT *, replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS r,
+                replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS t
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+            sum(length('### ' || replace(r, ':', '\:') || ': ' || t || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
