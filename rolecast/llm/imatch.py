@@ -6,28 +6,29 @@ average) / (least share) terms can reach it, however large the corpus. It theref
 along as a hash table in two literal arrays, so that looking a term up neither joins nor
 shuffles. Each document keeps its distinct terms in the band, sorted, and hashes them
 under several randomised lexicons: in each of FAMILIES families, nested lexicons that keep
-each term with probability 1/2, 1/4, and so on. Sparse lexicons survive larger edits, and
+each term with probability 1/4, 1/8, and so on. Sparse lexicons survive larger edits, and
 dense ones tell small documents apart, so the share of equal hashes grades likeness.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import ascii_lower, cut, partitions, prepare, words
+from rolecast.llm.common import partitions, prepare, words
 
-FAMILIES = 8
-DEPTH = 9
+FAMILIES = 6
+#: A family's lexicons keep the terms whose hash has none of these bits, nor those of the masks before: 1/4, 1/8, ... 1/512.
+MASKS = (3, 4, 8, 16, 32, 64, 128, 256)
 #: The band, as shares of all documents that hold the term.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.25
 DIGITS = 5
 #: Documents in a group that is put in order together.
-GROUP_ROWS = 2000
+GROUP_ROWS = 500
 MAX_GROUPS = 10_000
 
 
 def terms(text: Column) -> Column:
     """The distinct terms of a text, as 64-bit hashes of its lower-cased words."""
-    return F.transform(F.array_distinct(words(ascii_lower(text))), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, text: str, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> list[int]:
@@ -77,34 +78,29 @@ def member(found: list[int]):
     return test
 
 
-def drawn(family: int, depth: int):
-    """term -> whether the family's lexicon at this depth keeps it, if the one before does: every other term."""
-    return lambda term: F.xxhash64(term, F.lit(family)).bitwiseAND(F.lit(1 << depth)) == 0
+def in_band(text: Column, found: list[int]) -> Column:
+    """A text's distinct terms in the lexicon, sorted."""
+    return F.array_sort(F.filter(terms(text), member(found)))
 
 
-def with_hashes(frame: DataFrame, text: Column, found: list[int], name: str) -> DataFrame:
-    """frame with array<long> name: a hash for each randomised lexicon; null where it keeps no term.
+def hashes(terms: Column, text: Column) -> Column:
+    """array<long>: a hash of the kept terms, which come sorted, for each randomised lexicon; 0 where it keeps none.
 
-    Terms are sorted before hashing. Texts without a term in the band fall back on one hash
-    of the whole text in every place, so that equal texts always have equal fingerprints.
+    A family's lexicons are nested: each mask keeps half of what the one before kept. Texts
+    without a term in the band fall back on a hash of the whole text in every place, so that
+    equal texts always have equal fingerprints.
     """
-    test = member(found)
-    part = lambda i: f"__{name}_{i}"
-    frame = frame.withColumn(part(0), F.array_sort(F.filter(terms(text), test)))
-    hashes: list[str] = []
-    now = {i: part(0) for i in range(FAMILIES)}
-    for depth in range(DEPTH):
-        new = {}
-        for i in range(FAMILIES):
-            new[f"__{name}_a{i}_{depth}"] = F.filter(now[i], drawn(i, depth))
-        frame = frame.withColumns(new)
-        now = dict(enumerate(new))
-        made = {f"__{name}_h{i}_{depth}": F.when(F.size(c) > 0, F.xxhash64(F.col(c), F.lit(depth))) for i, c in now.items()}
-        frame = frame.withColumns(made)
-        hashes += made
-    whole = F.xxhash64(text, F.lit(-1))
-    gone = [c for c in frame.columns if c.startswith(f"__{name}_")]
-    return frame.withColumn(name, F.when(F.size(part(0)) > 0, F.array(*hashes)).otherwise(F.array_repeat(whole, len(hashes)))).drop(*gone)
+    kept = lambda family, mask: lambda t: F.xxhash64(t, F.lit(family)).bitwiseAND(mask) == 0
+    told = lambda a: F.when(F.size(a) > 0, F.xxhash64(a)).otherwise(F.lit(0).cast("long"))
+
+    def family(i: int) -> Column:
+        first = F.filter(terms, kept(i, F.lit(MASKS[0])))
+        start = F.struct(first.alias("a"), F.array().cast("array<bigint>").alias("h"))
+        step = lambda s, mask: F.struct(F.filter(s["a"], kept(i, mask)).alias("a"), F.concat(s["h"], F.array(told(s["a"]))).alias("h"))
+        return F.aggregate(F.array(*[F.lit(m) for m in MASKS[1:]]), start, step, lambda s: F.concat(s["h"], F.array(told(s["a"]))))
+
+    whole = F.array_repeat(F.xxhash64(text, F.lit(-1)), FAMILIES * len(MASKS))
+    return F.when(F.size(terms) > 0, F.concat(*[family(i) for i in range(FAMILIES)])).otherwise(whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,16 +108,16 @@ def likeness(a: Column, b: Column) -> Column:
 
     Only lexicons that keep a term of either text count; 1 if none does.
     """
-    places = F.sequence(F.lit(0), F.lit(FAMILIES * DEPTH - 1))
-    same = F.filter(places, lambda i: F.get(a, i) == F.get(b, i))
-    told = F.filter(places, lambda i: F.get(a, i).isNotNull() | F.get(b, i).isNotNull())
-    family = lambda found: F.size(F.array_distinct(F.transform(found, lambda i: i % FAMILIES)))
+    places = F.sequence(F.lit(0), F.lit(FAMILIES * len(MASKS) - 1))
+    same = F.filter(places, lambda i: (F.get(a, i) == F.get(b, i)) & (F.get(a, i) != 0))
+    told = F.filter(places, lambda i: (F.get(a, i) != 0) | (F.get(b, i) != 0))
+    family = lambda found: F.size(F.array_distinct(F.transform(found, lambda i: F.floor(i / len(MASKS)))))
     return F.when(F.size(told) == 0, F.lit(1.0)).otherwise((F.size(same) / F.size(told) + family(same) / family(told)) / 2)
 
 
 def as_text(a: Column) -> Column:
     """The hashes in hex digits; '-' where a lexicon keeps no term."""
-    return F.array_join(F.transform(a, lambda h: F.when(h.isNull(), F.lit("-")).otherwise(F.right(F.lower(F.hex(h)), F.lit(DIGITS)))), ".")
+    return F.array_join(F.transform(a, lambda h: F.when(h == 0, F.lit("-")).otherwise(F.right(F.lower(F.hex(h)), F.lit(DIGITS)))), ".")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -131,8 +127,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """
     prepare(docs.sparkSession)
     found = lexicon(docs, text, least, most)
-    whole = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    return with_hashes(whole, F.col("__text"), found, "fingerprint").drop("__text")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    kept = docs.select(key, whole.alias("__text"), in_band(whole, found).alias("__terms"))
+    return kept.select(key, hashes(F.col("__terms"), F.col("__text")).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,18 +179,26 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     prepare(docs.sparkSession)
     found = lexicon(docs, text, least, most)
     order = Window.partitionBy("group").orderBy("ghost", F.col("__key").desc_nulls_last(), "__text")
-    rows = with_next(docs, key, text).withColumn("__next", F.lead("__text").over(order))
+    rows = with_next(docs, key, text).withColumn("__next", F.lead("__text").over(order)).withColumn("__rn", F.row_number().over(order))
     n = F.length("__text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("__text"), F.lit(1), n - third), F.substring(F.coalesce("__next", F.lit("")), F.lit(1), third))
-    rows = rows.select("__key", "__text", "group", "ghost", F.length("__text").cast("long").alias("n_chars"), edited.alias("__edited"))
-    rows = with_hashes(rows, F.col("__text"), found, "__print")
-    rows = with_hashes(rows, F.col("__edited"), found, "__eprint")
-    rows = rows.withColumn("__nprint", F.lead("__print").over(order)).where("ghost = 0")
+    rows = rows.select("__key", "__text", "group", "ghost", "__rn", F.length("__text").cast("long").alias("n_chars"), edited.alias("__edited"))
+    band = rows.select(
+        "__key", "group", "ghost", "__rn", "n_chars",
+        F.sha2(F.encode("__edited", "UTF-8"), 256).alias("edited_sha256"),
+        F.xxhash64("__text", F.lit(-1)).alias("__whole"), F.xxhash64("__edited", F.lit(-1)).alias("__ewhole"),
+        in_band(F.col("__text"), found).alias("__terms"), in_band(F.col("__edited"), found).alias("__eterms"),
+    )
+    rows = band.select(
+        "__key", "group", "ghost", "__rn", "n_chars", "edited_sha256",
+        hashes(F.col("__terms"), F.col("__whole")).alias("__print"), hashes(F.col("__eterms"), F.col("__ewhole")).alias("__eprint"),
+    )
+    rows = rows.withColumn("__nprint", F.lead("__print").over(Window.partitionBy("group").orderBy("__rn"))).where("ghost = 0")
     return rows.select(
         F.col("__key").alias(key),
         "n_chars",
-        F.sha2(F.encode("__edited", "UTF-8"), 256).alias("edited_sha256"),
+        "edited_sha256",
         as_text(F.col("__print")).alias("fingerprint"),
         as_text(F.col("__eprint")).alias("edited_fingerprint"),
         likeness(F.col("__print"), F.col("__eprint")).alias("near_edited"),
