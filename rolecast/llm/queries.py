@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import chat, divergence, imatch, licenses, mixing, simhash, warc
+from rolecast.llm import chat, divergence, imatch, kneser_ney, licenses, mixing, simhash, warc
 from rolecast.llm.common import scratch, table
 
 
@@ -51,6 +51,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(*chat.prefix_tree(given.unionByName(extra)))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under its language's model of trusted text, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.scores(docs, kneser_ney.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_warc": op3_warc,
@@ -59,6 +65,7 @@ QUERIES = {
     "op7_divergence": op7_divergence,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
