@@ -3,10 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import chat, divergence, imatch, kneser_ney, licenses, mixing, simhash, warc
+from rolecast.llm import chat, divergence, imatch, kneser_ney, licenses, mixing, packing, simhash, warc
 from rolecast.llm.common import scratch, table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence sentences and licences of every document, as lists joined by commas."""
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
     "op3_warc": op3_warc,
     "op4_imatch": op4_imatch,
