@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import chat, divergence, imatch, kneser_ney, licenses, mixing, packing, simhash, warc
+from rolecast.llm import chat, divergence, imatch, kneser_ney, licenses, mixing, neural_lm, packing, simhash, warc
 from rolecast.llm.common import scratch, table
 
 
@@ -31,6 +31,11 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edits(table(spark, sf_dir, "documents"))
 
 
+def op5_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the neural model and under the unigram baseline."""
+    return neural_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a low-discrepancy mix of the sources takes of every document."""
     account = mixing.mix(table(spark, sf_dir, "documents"))[1]
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_warc": op3_warc,
     "op4_imatch": op4_imatch,
+    "op5_neural_lm": op5_neural_lm,
     "op6_schedule": op6_schedule,
     "op7_divergence": op7_divergence,
     "op8_simhash": op8_simhash,
