@@ -2,8 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolecast.llm import simhash
-from rolecast.llm.common import remove, scratch, table
+from rolecast.llm import divergence, kneser_ney, mixing, packing, simhash
+from rolecast.llm.common import scratch, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under their language's model of trusted text is too high go."""
+    return kneser_ney.quality_filter(docs, kneser_ney.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or diverge from their language's distributions go."""
+    return divergence.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -11,14 +21,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of the sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in training sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
+#: Models, hashes and the breeding of packings are beyond SQL; a test holds the stages against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages in turn; the steps between lie in the shared folder."""
+    """Applies the stages in turn; what lies between them is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
