@@ -15,10 +15,12 @@ HEAD of them, are looked up where the text is; the rest of a text's words meet t
 in a join, which no word can skew since none of them is frequent.
 """
 
+import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -103,45 +105,63 @@ class Vocabulary:
     class_tokens: np.ndarray
     class_types: np.ndarray
     settings: Settings
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def size(self) -> int:
         return self.settings.words + self.settings.buckets
 
 
-class Lookup(dict):
+class Lookup:
     """Numbers words as they come and keeps, by number, their class, key and count (-1: not at hand)."""
 
     def __init__(self, known: Vocabulary):
-        super().__init__()
         self.known = known
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        room = CACHE + 1
-        self.classes, self.keys, self.counts, self.used = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.int64), 0
-
-    def __missing__(self, word: bytes) -> int:
-        known, key = self.known, key_of(word)
-        at = int(np.searchsorted(known.keys, key))
-        there = at < len(known.keys) and known.keys[at] == key
-        own = int(known.classes[at]) if there else -1
-        i = self.used
-        if i >= len(self.keys):  # one text with more words than the cache
-            for name in ("classes", "keys", "counts"):
-                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(i, np.int64)]))
-        self.classes[i] = own if own >= 0 else known.settings.words + bucket_of(word, known.settings.buckets)
-        self.keys[i], self.counts[i] = key, int(known.counts[at]) if there else -1
-        self.used += 1
-        self[word] = i
-        return i
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        found = tokens(text)
-        if self.used + len(found) > CACHE and self.used > CACHE // 2:
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.classes = self.keys = self.counts = np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, s = self.known, self.known.settings
+        keys = np.fromiter(map(key_of, words), np.int64, len(words))
+        classes = np.fromiter((s.words + bucket_of(w, s.buckets) for w in words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(known.keys, keys), max(0, len(known.keys) - 1))
+        there = known.keys[at] == keys if len(known.keys) else np.zeros(len(keys), bool)
+        own = there.copy()
+        own[there] = known.classes[at[there]] >= 0
+        classes[own] = known.classes[at[own]]
+        counts = np.full(len(keys), -1, np.int64)
+        counts[there] = known.counts[at[there]]
+        self.classes = np.concatenate([self.classes, classes])
+        self.keys, self.counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The word numbers of all texts, one after the other, and each text's number of tokens."""
+        if len(self.number) > CACHE:
             self.reset()
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        words, sizes = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = tokens(text)
+            sizes[i] = len(found)
+            words += found
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = len(self.number) - len(self.keys)
+        if new:
+            self._learn(list(islice(reversed(self.number), new))[::-1])
+        return out, sizes
+
+
+_LOOKUPS: dict[str, Lookup] = {}
+
+
+def lookup(known: Vocabulary) -> Lookup:
+    """The worker process's lookup for a vocabulary: it outlives the task, and the last one is kept."""
+    if known.name not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[known.name] = Lookup(known)
+    return _LOOKUPS[known.name]
 
 
 def vocabulary(train: DataFrame, settings: Settings) -> tuple[Vocabulary, DataFrame]:
@@ -183,26 +203,30 @@ class Network:
         share = (known.class_tokens + SMOOTH) / (known.class_tokens + SMOOTH).sum()
         return np.concatenate([draw.normal(0, 0.1, n), np.log(share)]).astype(np.float32)
 
-    def windows(self, classes: np.ndarray) -> np.ndarray:
-        """For each token of a text the classes before it, the nearest first; `size` stands before the start."""
+    def windows(self, classes: np.ndarray, sizes: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """For each token of texts, one after the other, the classes before it, the nearest first; `size` stands before a start."""
         c = self.settings.context
-        padded = np.concatenate([np.full(c, self.size), classes])
-        return np.stack([padded[c - 1 - i : c - 1 - i + len(classes)] for i in range(c)])
+        places = np.arange(len(classes)) + c * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        padded = np.full(len(classes) + c * len(sizes), self.size)
+        padded[places] = classes
+        places = places[at]
+        return np.stack([padded[places - 1 - i] for i in range(c)])
 
     def predictions(self, windows: np.ndarray) -> np.ndarray:
         return sum(self.context[i][w] for i, w in enumerate(windows))
 
     def log10(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised log-probabilities of the targets, by products of a block of tokens with all classes."""
-        out = np.empty(len(targets))
-        for a in range(0, len(targets), 8192):
-            b = min(len(targets), a + 8192)
+        out, ones = np.empty(len(targets)), np.ones(self.size, np.float32)
+        for a in range(0, len(targets), 2048):
+            b = min(len(targets), a + 2048)
             rated = self.predictions(windows[:, a:b]) @ self.vectors.T
             rated += self.bias
-            np.clip(rated, -60, 60, out=rated)
-            mine = rated[np.arange(b - a), targets[a:b]].astype(np.float64)
+            if rated.max() > 60:
+                np.minimum(rated, 60, out=rated)
+            mine = rated[np.arange(b - a), targets[a:b]]
             np.exp(rated, out=rated)
-            out[a:b] = mine - np.log(rated.sum(axis=1, dtype=np.float64))
+            out[a:b] = mine - np.log(rated @ ones)
         return out / np.log(10)
 
     def train(self, windows: np.ndarray, targets: np.ndarray, squares: np.ndarray, share: np.ndarray, draw: np.random.Generator) -> None:
@@ -242,22 +266,18 @@ def _learn(known, stride: int, settings: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = known.value
-        net, look = Network(start.copy(), words.size, settings), Lookup(words)
+        net, look = Network(start.copy(), words.size, settings), lookup(words)
         squares = np.full(len(start), 1e-4, np.float32)
         share = words.class_tokens + SMOOTH
         share = share / share.sum()
         draw, seen = np.random.default_rng(SEED), 0
         for batch in batches:
-            windows, targets = [], []
-            for text in batch.column(0).to_pylist():
-                classes = look.classes[look.numbers(text)]
-                at = np.arange(zlib.crc32((text or "")[:64].encode("utf-8", "surrogatepass")) % stride, len(classes), stride)
-                if len(at):
-                    windows.append(net.windows(classes)[:, at])
-                    targets.append(classes[at])
-            if targets:
-                net.train(np.concatenate(windows, axis=1), np.concatenate(targets), squares, share, draw)
-                seen += sum(map(len, targets))
+            numbers, sizes = look.numbers(batch.column(0).to_pylist())
+            classes = look.classes[numbers]
+            at = np.arange(int(sizes[0] % stride) if len(sizes) else 0, len(classes), stride)
+            if len(at):
+                net.train(net.windows(classes, sizes, at), classes[at], squares, share, draw)
+                seen += len(at)
         if seen:
             yield pa.record_batch([pa.array(np.arange(len(start), dtype=np.int32)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(len(start), seen, np.int64))], names=["i", "value", "seen"])
 
@@ -293,40 +313,33 @@ def _score(shared, key_field: T.StructField, settings: Settings):
         from pyspark import TaskContext
 
         known, flat = shared.value
-        net, look = Network(flat, known.size, settings), Lookup(known)
+        net, look = Network(flat, known.size, settings), lookup(known)
         totals = np.log10(known.class_tokens + SMOOTH * (known.class_types + 1))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            windows, targets, sizes = [], [], []
-            rows: list[tuple] = []
-            keys, times, owners = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                number = look.numbers(text)
-                classes, counts = look.classes[number], look.counts[number]
-                windows.append(net.windows(classes))
-                targets.append(classes)
-                sizes.append(len(number))
-                here, inner = counts >= 0, classes >= settings.words
-                logs = np.log10(np.maximum(counts, 0) + SMOOTH)
-                rows.append((row, int(here.sum()), float(logs[here].sum()), float(logs[here & inner].sum() - totals[classes[inner]].sum())))
-                rare, n = np.unique(look.keys[number[~here]], return_counts=True)
-                keys.append(rare), times.append(n), owners.append(np.full(len(rare), row))
-                row += 1
-            if not rows:
+            if not batch.num_rows:
                 continue
-            lp = net.log10(np.concatenate(windows, axis=1), np.concatenate(targets))
-            sums = np.add.reduceat(lp, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if known.tokens else np.zeros(len(rows))
-            of = pa.array([r[0] for r in rows], pa.int64())
-            own = pa.array([key_of(str(r[0]).encode()) for r in rows], pa.int64())
+            number, sizes = look.numbers(batch.column(1).to_pylist())
+            classes, counts = look.classes[number], look.counts[number]
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            here, inner = counts >= 0, classes >= settings.words
+            logs = np.where(here, np.log10(np.maximum(counts, 0) + SMOOTH), 0.0)
+            own = np.where(inner, logs - totals[classes], 0.0)
+            if known.tokens:
+                own += net.log10(net.windows(classes, sizes), classes)
+            sums = lambda values: np.bincount(text, weights=values, minlength=len(sizes))
+            rows = row + np.arange(len(sizes))
+            row += len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), of, own, pa.array([0] * len(rows), pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] + float(s) for r, s in zip(rows, sums)], pa.float64())],
+                [batch.column(0), pa.array(rows), pa.array([key_of(str(r).encode()) for r in rows.tolist()], pa.int64()), pa.array(np.zeros(len(sizes), np.int64)),
+                 batch.column(2), pa.array(sizes), pa.array(sums(here).astype(np.int64)), pa.array(sums(logs)), pa.array(sums(own))],
                 names=names,
             )
-            keys, times, owners = np.concatenate(keys), np.concatenate(times), np.concatenate(owners)
-            if len(keys):
-                none = [pa.nulls(len(keys), t) for t in (batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([none[0], pa.array(owners), pa.array(keys), pa.array(times.astype(np.int64)), *none[1:]], names=names)
+            rare, times = np.unique((text * len(look.keys) + number)[~here], return_counts=True)
+            if len(rare):
+                none = [pa.nulls(len(rare), t) for t in (batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                owner, word = np.divmod(rare, len(look.keys))
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(rows[owner]), pa.array(look.keys[word]), pa.array(times.astype(np.int64)), *none[1:]], names=names)
 
     return run
 
