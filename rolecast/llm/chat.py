@@ -1,8 +1,8 @@
 r"""Chat formatting as a prefix tree.
 
 Conversations that share their initial turns share the nodes of those turns. The forest is
-written depth-first, each node's tokens once; a token here is a code point of the formatted
-text. A node carries its place in the sequence, the position ids of its tokens (they count
+written depth-first, each node's tokens once; a node is a run of turns that no two
+conversations leave differently, and a token here is a code point of the formatted text. A node carries its place in the sequence, the position ids of its tokens (they count
 along the path from the root) and the intervals of the sequence that it may attend to: those
 of its ancestors and its own. The depth-first order is the order of the paths of turn
 hashes, and places are prefix sums over ranges of that order with even numbers of nodes, so
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import cut, prepare
+from rolecast.llm.common import cut, keep, prepare
 
 OPEN, CLOSE = "### ", "</turn>"
 TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\])*?)</turn>\n", re.S)
@@ -61,34 +61,75 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-STEPS = "conv_id long, depth int, n_turns int, path binary, role string, formatted string, first long, last long, position long"
+WALKED = "conv_id long, roles array<string>, turns array<string>, first array<int>, last array<int>, chain array<binary>"
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every turn of a conversation its path in the tree, its formatted text and its place along the path."""
-    names = ["conv_id", "depth", "n_turns", "path", "role", "formatted", "first", "last", "position"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A conversation's formatted turns, where their texts lie in them, and the hash of all turns up to each."""
+    names = ["conv_id", "roles", "turns", "first", "last", "chain"]
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
     for batch in batches:
         rows = []
         for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            path, chain, position = b"", b"", 0
-            for depth, turn in enumerate(turns):
-                formatted, first, last = format_turn(turn["role"], turn["text"])
-                chain = sha256(chain + formatted.encode("utf-8", "surrogatepass")).digest()
-                path += chain[:STEP]
-                rows.append((conv, depth, len(turns), path, turn["role"], formatted, first, last, position))
-                position += len(formatted)
+            made = [format_turn(t["role"], t["text"]) for t in turns]
+            chain, so_far = [], b""
+            for formatted, _, _ in made:
+                so_far = sha256(so_far + formatted.encode("utf-8", "surrogatepass")).digest()
+                chain.append(so_far)
+            rows.append((conv, [t["role"] for t in turns], *([m[i] for m in made] for i in range(3)), chain))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def steps(conversations: DataFrame) -> DataFrame:
-    """STEPS of every conversation, its rows taken by turn (nulls first; ties by role, then text)."""
-    prepare(conversations.sparkSession)
+def walked(conversations: DataFrame) -> DataFrame:
+    """WALKED for every conversation, its rows taken by turn (nulls first; ties by role, then text)."""
     clean = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    whole = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text"))).alias("turns"))
-    return whole.mapInArrow(_steps, STEPS)
+    turn = F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text")
+    return clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).mapInArrow(_walk, WALKED)
+
+
+def _starts(walks: DataFrame) -> DataFrame:
+    """(conv_id, starts): the depths at which a conversation enters a new node.
+
+    A node is a run of turns that never parts: it ends where conversations go on
+    differently, or where one of them ends.
+    """
+    steps = walks.select("conv_id", F.size("chain").alias("n"), "chain", F.posexplode("chain").alias("depth", "hash"))
+    steps = steps.select("conv_id", "n", "depth", "hash", F.when(F.col("depth") > 0, F.get("chain", F.col("depth") - 1)).alias("parent"))
+    distinct = steps.groupBy("hash").agg(F.first("parent").alias("parent"), F.max((F.col("depth") == F.col("n") - 1).cast("int")).alias("ends"))
+    distinct = keep(distinct, "chat-turns")
+    parts = distinct.groupBy("parent").agg(F.count("*").alias("children"))
+    ends = distinct.where("ends = 1").select(F.col("hash").alias("parent"), F.lit(1).alias("ended"))
+    enters = distinct.where("parent is null").select("hash").unionByName(
+        distinct.join(parts, "parent").join(ends, "parent", "left").where("children > 1 or ended = 1").select("hash")
+    )
+    found = steps.select("conv_id", "depth", "hash").join(enters, "hash", "left_semi")
+    return found.groupBy("conv_id").agg(F.array_sort(F.collect_list("depth")).alias("starts"))
+
+
+NODES = "conv_id long, leaf boolean, path binary, depth int, position long, text string, spans array<struct<first: int, last: int>>"
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes along each conversation's path."""
+    span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.string(), pa.list_(span)]
+    names = ["conv_id", "leaf", "path", "depth", "position", "text", "spans"]
+    for batch in batches:
+        rows = []
+        for conv, roles, turns, first, last, chain, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            path, position = b"", 0
+            for a, b in zip(starts, [*starts[1:], len(turns)]):
+                path += chain[a][:STEP]
+                at, spans = 0, []
+                for i in range(a, b):
+                    if roles[i] == LEARNED:
+                        spans.append({"first": at + first[i], "last": at + last[i]})
+                    at += len(turns[i])
+                rows.append((conv, b == len(turns), path, a, position, "".join(turns[a:b]), spans))
+                position += at
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def _ranges(nodes: DataFrame) -> list[bytes]:
@@ -102,16 +143,20 @@ def _ranges(nodes: DataFrame) -> list[bytes]:
 def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The packed forest, and each conversation's leaf in it.
 
-    Nodes: path, parent (null at a root), depth, role, start (its first token in the
-    sequence), length, position (the position id of its first token), attend
-    (array<struct<start, end>>: its ancestors' intervals and its own, root first),
-    loss_first and loss_last (its learned tokens, counted from start; equal if none), text.
-    Leaves: conv_id, path, n_turns. Null texts and roles are empty; equal conversations
-    share a leaf; a null conv_id is one conversation of its own. Empty in, empty out.
+    Nodes: path, parent (null at a root), depth (of its first turn), start (its first token
+    in the sequence), length, position (the position id of its first token), attend
+    (array<struct<start, end>>: its ancestors' intervals and its own, root first), spans
+    (array<struct<first, last>>: its learned tokens, counted from start), text.
+    Leaves: conv_id, path. Null texts and roles are empty; equal conversations share a leaf;
+    the rows of a null conv_id are one conversation. Empty in, empty out.
     """
-    walked = cut(steps(conversations))
-    own = F.struct("depth", "position", "role", "formatted", "first", "last")
-    nodes = cut(walked.groupBy("path").agg(F.first(own).alias("n")).select("path", "n.*").withColumn("length", F.length("formatted").cast("long")))
+    prepare(conversations.sparkSession)
+    walks = keep(walked(conversations), "chat-walks")
+    starts = _starts(walks).withColumnRenamed("conv_id", "__conv")
+    along = walks.join(starts, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
+    along = keep(along.mapInArrow(_nodes, NODES), "chat-nodes")
+    nodes = along.groupBy("path").agg(F.first(F.struct("depth", "position", "text", "spans")).alias("n")).select("path", "n.*")
+    nodes = keep(nodes.withColumn("length", F.length("text").cast("long")), "chat-distinct")
     bounds = _ranges(nodes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,30 +167,21 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     light = nodes.select("path", "length").mapInArrow(place, "path binary, length long, part long")
     sums = light.groupBy("part").agg(F.sum("length").alias("sum"))
     before = F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    bases = sums.select("part", F.coalesce(before, F.lit(0)).alias("base"))
     earlier = F.sum("length").over(Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    placed = cut(light.withColumn("own", F.coalesce(earlier, F.lit(0))).join(starts, "part").select("path", (F.col("base") + F.col("own")).alias("start"), "length"))
-    # each node's ancestors are the prefixes of its path
+    placed = cut(light.withColumn("own", F.coalesce(earlier, F.lit(0))).join(bases, "part").select("path", (F.col("base") + F.col("own")).alias("start"), "length"))
+    # a node's ancestors are the prefixes of its path
     size = F.length("path")
     prefixes = F.transform(F.sequence(F.lit(1), (size / STEP).cast("int")), lambda d: F.substring(F.col("path"), F.lit(1), (d * STEP).cast("int")))
     up = nodes.select(F.col("path").alias("node"), F.explode(prefixes).alias("path")).join(placed, "path")
     attend = up.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("attend"))
-    learned = F.col("role") == LEARNED
     out = (
         nodes.drop("length")
         .join(placed, "path")
         .join(attend.withColumnRenamed("node", "path"), "path")
-        .select(
-            "path",
-            F.when(size > STEP, F.substring(F.col("path"), F.lit(1), size - STEP)).alias("parent"),
-            "depth", "role", "start", "length", "position", "attend",
-            F.when(learned, F.col("first")).otherwise(F.lit(0)).alias("loss_first"),
-            F.when(learned, F.col("last")).otherwise(F.lit(0)).alias("loss_last"),
-            F.col("formatted").alias("text"),
-        )
+        .select("path", F.when(size > STEP, F.substring(F.col("path"), F.lit(1), size - STEP)).alias("parent"), "depth", "start", "length", "position", "attend", "spans", "text")
     )
-    leaves = walked.where(F.col("depth") == F.col("n_turns") - 1).select("conv_id", "path", "n_turns")
-    return out, leaves
+    return keep(out, "chat-forest"), along.where("leaf").select("conv_id", "path")
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -155,8 +191,8 @@ def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """READ of every conversation, from the tree alone: each leaf's tokens are those of the intervals it attends to."""
     prepare(nodes.sparkSession)
     spans = leaves.join(nodes.select("path", "attend"), "path").select("conv_id", F.explode("attend").alias("a")).select("conv_id", F.col("a.start").alias("start"))
-    pieces = spans.join(nodes.select("start", "text", "loss_first", "loss_last"), "start")
-    whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "text", "loss_first", "loss_last"))).alias("pieces"))
+    pieces = spans.join(nodes.select("start", "text", "spans"), "start")
+    whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "text", "spans"))).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ.split(", ")]
@@ -167,7 +203,7 @@ def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
                 formatted = "".join(p["text"] for p in pieces)
                 turns = parse(formatted)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                learned = "".join(unescape(p["text"][p["loss_first"] : p["loss_last"]]) for p in pieces)
+                learned = "".join(unescape(p["text"][x["first"] : x["last"]]) for p in pieces for x in p["spans"])
                 digest = lambda s: sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((conv, len(turns), digest(said), len(learned), digest(learned), len(formatted)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
