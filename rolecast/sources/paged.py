@@ -93,10 +93,10 @@ class Paging:
     stop_short: bool = True
 
 
-def _query(url: str, **values) -> str:
+def _query(base: str, /, **values) -> str:
     from urllib.parse import urlencode
 
-    return f"{url}{'&' if '?' in url else '?'}{urlencode(values)}"
+    return f"{base}{'&' if '?' in base else '?'}{urlencode(values)}"
 
 
 def _workday_key(job: dict) -> str:

@@ -6,9 +6,10 @@ into items, and a mapping of an item's fields; what they share is one projection
 that is not what its provider sends makes the board invalid instead of yielding items.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +49,17 @@ def items_at(body: Column, path: str | None) -> Column:
     return F.when(F.ltrim(raw).startswith("["), F.from_json(raw, T.ArrayType(T.StringType())))
 
 
-@F.udf(T.StructType([T.StructField("company", T.StringType()), T.StructField("positions", T.StringType())]))
-def assigned(body):
-    """Two script variables of a page; their literals end where their brackets match, which no regular expression can tell."""
-    return text.assigned_json(body, "COMPANY_DATA"), text.assigned_json(body, "COMPANY_POSITIONS_DATA")
+def with_script_data(frame: DataFrame) -> DataFrame:
+    """frame with __company and __positions: two script variables of a page, whose literals end where their brackets match, which no regular expression can tell."""
+    fields = T.StructType([*frame.schema.fields, T.StructField("__company", T.StringType()), T.StructField("__positions", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column("body").to_pylist()
+            found = [pa.array([text.assigned_json(b, name) for b in bodies], pa.string()) for name in ("COMPANY_DATA", "COMPANY_POSITIONS_DATA")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=fields.names)
+
+    return frame.mapInArrow(run, fields)
 
 
 def icims_items(body: Column) -> Column:
@@ -83,11 +91,10 @@ def paylocity_items(body: Column) -> Column:
 
 def sparkhire_items(body: Column) -> Column:
     """Positions, each with its company's name and logo."""
-    data = assigned(body)
-    company = data["company"]
+    company = F.col("__company")
     logo = F.coalesce(field(company, "logos.small.url"), field(company, "logos.medium.url"))
     extra = F.to_json(F.struct(field(company, "name").alias("__company"), logo.alias("__logo")))
-    found = items_at(data["positions"], None)
+    found = items_at(F.col("__positions"), None)
     return F.when(company.isNotNull(), F.transform(found, lambda p: F.concat(F.substring(extra, F.lit(1), F.length(extra) - 1), F.when(extra == "{}", F.lit("")).otherwise(F.lit(",")), F.ltrim(F.substring(F.trim(p), F.lit(2), F.length(p))))))
 
 
@@ -320,7 +327,9 @@ def _assemble(items: DataFrame, name: str) -> DataFrame:
 def _items(staged: DataFrame, name: str) -> DataFrame:
     held = [F.col(c).alias(f"__{c}") for c in (*BOARD, "synced_at")]
     page = F.col("page") if "page" in staged.columns else F.lit(0)
-    return staged.where(F.col("provider") == name).select(*held, page.alias("__page"), PROVIDERS[name].items(F.col("body")).alias("items"))
+    mine = staged.where(F.col("provider") == name)
+    mine = with_script_data(mine) if name == "sparkhire" else mine
+    return mine.select(*held, page.alias("__page"), PROVIDERS[name].items(F.col("body")).alias("items"))
 
 
 def normalise(staged: DataFrame, provider: str) -> DataFrame:
