@@ -87,7 +87,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("All-Rights-Reserved", ("rights-reserved",)),
 )
 KNOWN = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
-ENDS = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|\n\s*\n|\n(?=\s*(?:[#*/-]+\s*)?[A-Z(])")
+ENDS = re.compile(r"(?<=[.!?;])[\"')\]]*\s+|(?<=conditions:)\s+|(?<=met:)\s+|\n\s*\n|\n(?=\s*(?:[#*/-]+\s*)?(?:[A-Z(]|\d+\.))")
 MARKS = re.compile(r"^[\s#*/;|>-]+|\s*(?:\*/|-->)\s*$", re.M)
 
 
