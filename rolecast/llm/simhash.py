@@ -8,6 +8,10 @@ their bits in the reflected Gray sequence, builds a tree over consecutive member
 nodes hold the bits that all members share, and descends it adding up differences, which
 prunes whole groups at once. A shard returns a spanning forest of its links, never all
 pairs. Members of an overfull shard go on to a finer choice of blocks, which is as exact.
+
+De-duplication by a similarity asks for far more differing bits than blocks can bear. It
+takes a wider fingerprint, whose shards are patterns of drawn bits, and searches them in
+the same way.
 """
 
 from collections.abc import Iterator
@@ -75,114 +79,163 @@ def blocks_for(n: int, distance: int) -> int:
     return blocks
 
 
-def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """The place of each code in the reflected Gray sequence."""
-    rank = codes.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """codes (n, words): their order by place in the reflected Gray sequence."""
+    ranks, odd = [], np.zeros(len(codes), bool)
+    for word in codes.T:
+        rank = word.copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(shift)
+        ranks.append(np.where(odd, ~rank, rank))
+        odd ^= (np.bitwise_count(word) & 1).astype(bool)
+    return np.lexsort(ranks[::-1])
+
+
+def differences(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
 
 
 def linked_pairs(codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of index pairs (i < j) of codes, sorted by Gray rank, that differ in at most distance bits."""
-    n, full = len(codes), np.uint64(0xFFFFFFFFFFFFFFFF)
+    """Chunks of index pairs (i < j) of codes (n, words), in Gray order, that differ in at most distance bits."""
+    n = len(codes)
     levels = [(codes, codes)]
     while len(levels[-1][0]) > 1:
         starts = np.arange(0, len(levels[-1][0]), FAN)
         levels.append((np.bitwise_and.reduceat(levels[-1][0], starts), np.bitwise_or.reduceat(levels[-1][1], starts)))
-    shared = [~(ones ^ some) & full for ones, some in levels]
+    shared = [~(ones ^ some) for ones, some in levels]
     chunk = 512
     for start in range(0, n, chunk):
         query = np.arange(start, min(n, start + chunk))
         node = np.zeros(len(query), np.int64)
         seen = np.zeros(len(query), np.int64)
-        known = np.zeros(len(query), np.uint64)
+        known = np.zeros((len(query), codes.shape[1]), np.uint64)
         for level in range(len(levels) - 1, -1, -1):
             pattern, mask = levels[level][0], shared[level]
-            seen = seen + np.bitwise_count((codes[query] ^ pattern[node]) & mask[node] & ~known)
+            seen = seen + differences((codes[query] ^ pattern[node]) & mask[node] & ~known)
             last = np.minimum((node + 1) * FAN**level, n) - 1
             keep = (seen <= distance) & (last > query)
             query, node, seen = query[keep], node[keep], seen[keep]
-            known = mask[node]
             if level and len(query):
-                width = len(levels[level - 1][0])
+                known = np.repeat(mask[node], FAN, axis=0)
                 child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                query, seen, known = np.repeat(query, FAN), np.repeat(seen, FAN), np.repeat(known, FAN)
-                there = child < width
+                query, seen = np.repeat(query, FAN), np.repeat(seen, FAN)
+                there = child < len(levels[level - 1][0])
                 query, node, seen, known = query[there], child[there], seen[there], known[there]
+            elif level:
+                break
         if len(query):
             yield query, node
 
 
+def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of a[i] and b[i] under their least index."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def spanning_edges(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links each code of a group with the least index of its component within the group."""
-    codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+    """Indices (a, b) that link each code of a group with one code of its component within the group."""
+    order = gray_order(codes)
     root = np.arange(len(codes))
-    for a, b in linked_pairs(codes, distance):
-        while True:
-            x, y = root[a], root[b]
-            if (x == y).all():
-                break
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root = root[root]
+    for a, b in linked_pairs(codes[order], distance):
+        join_roots(root, a, b)
     moved = np.flatnonzero(root != np.arange(len(codes)))
-    return codes[moved], codes[root[moved]]
+    return order[moved], order[root[moved]]
 
 
-def _search(distance: int):
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """Members of each shard; the rows come sorted by shard."""
-        rest: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            now = [np.asarray(batch.column(i)) for i in range(3)]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            cuts = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
-            edges = np.concatenate([[0], cuts])
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b - a > 1:
-                    yield now[2][a:b]
-            rest = tuple(x[edges[-1] :] for x in now)
-        if rest is not None and len(rest[2]) > 1:
-            yield rest[2]
+def leaf_edges(group: np.ndarray, codes: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """spanning_edges of many small groups at once; rows of a group stand together, at most `most` of them."""
+    root = np.arange(len(codes))
+    for apart in range(1, most):
+        at = np.flatnonzero(group[apart:] == group[:-apart])
+        if not len(at):
+            break
+        at = at[differences(codes[at] ^ codes[at + apart]) <= distance]
+        if len(at):
+            join_roots(root, at, at + apart)
+    moved = np.flatnonzero(root != np.arange(len(codes)))
+    return moved, root[moved]
+
+
+#: Groups of at most so many members are leaves: their members are compared with one another.
+LEAF = 16
+
+
+def _search(distance: int, words: int):
+    """Rows (cell, fp, code words), sorted by cell: edges (a, b) between fps that span the links of each cell."""
+
+    def edges(cell: np.ndarray, fp: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(cell)]
+        sizes = ends - starts
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LEAF), sizes))
+        out = []
+        if len(small):
+            a, b = leaf_edges(group[small], codes[small], distance, LEAF)
+            out.append((fp[small[a]], fp[small[b]]))
+        for i in np.flatnonzero(sizes > LEAF):
+            a, b = spanning_edges(codes[starts[i] : ends[i]], distance)
+            out.append((fp[starts[i] + a], fp[starts[i] + b]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, held = [], [], 0
-        for members in groups(batches):
-            a, b = spanning_edges(members.view(np.uint64), distance)
-            left.append(a)
-            right.append(b)
-            held += len(a)
-            if held > 50_000:
-                yield pa.record_batch([np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)], names=["a", "b"])
-                left, right, held = [], [], 0
-        if held:
-            yield pa.record_batch([np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)], names=["a", "b"])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return tuple(np.concatenate([h[i] for h in held]) for i in range(3))
+
+        def out(cell: np.ndarray, fp: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = edges(cell, fp, codes)
+            if found:
+                yield pa.record_batch([np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])], names=["a", "b"])
+
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            held.append((columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)))
+            rows += batch.num_rows
+            if rows > 50_000 and held[-1][0][0] != held[-1][0][-1]:
+                cell, fp, codes = table()
+                last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1
+                yield from out(cell[:last], fp[:last], codes[:last])
+                held, rows = [(cell[last:], fp[last:], codes[last:])], len(cell) - last
+        if rows > 1:
+            yield from out(*table())
 
     return run
 
 
+def _span(cells: DataFrame, distance: int, words: list[str]) -> DataFrame:
+    """cells (cell, fp, words): the edges that span the links of each cell."""
+    dealt = cells.select("cell", "fp", *words).repartition(partitions(cells.sparkSession), "cell")
+    return dealt.sortWithinPartitions("cell").mapInArrow(_search(distance, len(words)), "a long, b long")
+
+
 def link_fingerprints(codes: DataFrame, distance: int = 4, split_at: int = SPLIT_AT) -> DataFrame:
     """codes (fp long, distinct): edges (a, b) whose components are those of all links within distance bits."""
     n = codes.count()
     blocks, found, rest = blocks_for(n, distance), None, codes.select("fp")
     while True:
-        cells = rest.select(
-            "fp",
-            F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks, distance)])).alias("shard", "pattern"),
-        )
+        pattern = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, distance))]
+        cells = rest.select("fp", F.col("fp").alias("code"), F.explode(F.array(*pattern)).alias("cell"))
         final = blocks >= MAX_BLOCKS
         if not final:
-            hot = cut(cells.groupBy("shard", "pattern").count().where(F.col("count") > split_at).select("shard", "pattern"))
+            hot = cut(cells.groupBy("cell").count().where(F.col("count") > split_at).select("cell"))
             final = hot.isEmpty()
         if final:
             cool, rest = cells, None
         else:
-            cool = cells.join(hot, ["shard", "pattern"], "left_anti")
-            rest = cut(cells.join(hot, ["shard", "pattern"], "left_semi").select("fp").distinct())
-        dealt = cool.select("shard", "pattern", "fp").repartition(partitions(codes.sparkSession), "shard", "pattern")
-        edges = dealt.sortWithinPartitions("shard", "pattern").mapInArrow(_search(distance), "a long, b long")
+            cool = cells.join(hot, "cell", "left_anti")
+            rest = cut(cells.join(hot, "cell", "left_semi").select("fp").distinct())
+        edges = _span(cool, distance, ["code"])
         found = edges if found is None else found.union(edges)
         if rest is None:
             return found
@@ -213,19 +266,96 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     return prints.join(simhash_classes(prints, distance, key), "fp").select(key, "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """Keeps one row of each group: that with the least key (nulls last), then the least fingerprint.
+# Similarity -----------------------------------------------------------------------------
 
-    All columns are returned. Of identical candidates any one stays. Empty in, empty out.
+WIDE = 4
+#: Share of pairs at the least similarity that some cell brings together, and standard deviations kept beyond their mean difference.
+RECALL, SPREAD = 0.99, 2.0
+#: A hot cell's members are dealt again by so many more bits, in so many ways: fewer than one link in a thousand is lost to it.
+MORE_BITS, MORE_WAYS = 6, 16
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """The SimHash of a text in 64 * WIDE bits."""
+    found = word_bytes(text)
+    if not found:
+        return bytes(8 * WIDE)
+    found = b" ".join(found).lower().split(b" ")
+    grams = list(map(b" ".join, zip(*(found[i:] for i in range(shingle))))) if len(found) >= shingle else [b" ".join(found)]
+    ones = []
+    for seed in range(WIDE // 2):
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams, repeat(seed))), np.uint8).reshape(len(grams), 16)
+        ones.append(np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64))
+    return np.packbits(2 * np.concatenate(ones) > len(grams)).tobytes()
+
+
+def with_wide(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """docs with fp, a hash of the wide fingerprint, and its words c0, c1, ..."""
+    names = [f"c{i}" for i in range(WIDE)]
+    fields = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("fp", *names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t, shingle) for t in batch.column(text).to_pylist()]
+            words = np.frombuffer(b"".join(found), np.int64).reshape(len(found), WIDE)
+            fp = np.array([xxhash.xxh64_intdigest(f) for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp), *(pa.array(words[:, i].copy()) for i in range(WIDE))], names=fields.names)
+
+    return docs.mapInArrow(run, fields)
+
+
+def radius(similarity: float) -> tuple[float, int]:
+    """The chance that a bit differs between texts of this Jaccard similarity, and the differences up to which they link."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    n = BITS * WIDE
+    return p, int(np.ceil(n * p + SPREAD * np.sqrt(n * p * (1 - p))))
+
+
+def _drawn(draw: np.random.Generator, bits: int) -> list[int]:
+    """Masks of the words, as signed longs, that hold so many drawn bits between them."""
+    chosen = draw.choice(BITS * WIDE, bits, replace=False)
+    found = [sum(1 << int(b % BITS) for b in chosen if b // BITS == w) for w in range(WIDE)]
+    return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in found]
+
+
+def link_similar(codes: DataFrame, similarity: float, split_at: int = SPLIT_AT) -> DataFrame:
+    """codes (fp, c0, ...), distinct: edges whose components join texts of at least this similarity.
+
+    Cells are patterns of drawn bits, so many of them that RECALL of the pairs at the least
+    similarity share one, and nearly all more alike; within a cell every link is found.
+    """
+    words = [f"c{i}" for i in range(WIDE)]
+    n, (p, most) = codes.count(), radius(similarity)
+    bits = max(14, int(np.ceil(np.log2(max(1, n / 16)))))
+    ways = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - p) ** bits)))
+    draw = np.random.default_rng(SEED)
+    cell = lambda of, m: F.xxhash64(of, *[F.col(w).bitwiseAND(F.lit(x)) for w, x in zip(words, m)])
+    cells = codes.select("fp", *words, F.explode(F.array(*[cell(F.lit(i), _drawn(draw, bits)) for i in range(ways)])).alias("cell"))
+    hot = cut(cells.groupBy("cell").count().where(F.col("count") > split_at).select("cell"))
+    if hot.isEmpty():
+        return _span(cells, most, words)
+    again = [_drawn(draw, MORE_BITS) for _ in range(MORE_WAYS)]
+    split = cells.join(hot, "cell", "left_semi").select("fp", *words, F.explode(F.array(*[cell(F.xxhash64("cell", F.lit(i)), m) for i, m in enumerate(again)])).alias("cell"))
+    return _span(cells.join(hot, "cell", "left_anti").unionByName(split), most, words)
+
+
+def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Keeps one row of each group of texts linked by a SimHash similarity of at least `similarity`.
+
+    That with the least key stays (nulls last), then that of the least text hash; of equal
+    rows one. All columns are returned. Null and blank texts are alike. Empty in, empty out.
     """
     prepare(docs.sparkSession)
-    mark = "__simhash_fp"
-    marked = with_fingerprint(docs, text, shingle, mark)
-    prints = cut(with_fingerprint(docs.select(key, text), text, shingle).select(key, "fp"))
-    classes = simhash_classes(prints, distance, key)
-    best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("fp").alias("f")))
-    kept = prints.join(classes, "fp").groupBy("root").agg(best.alias("b"))
-    kept = kept.select(F.col("b.k").alias("__k"), F.col("b.f").alias("__f"))
-    chosen = marked.join(kept, (F.col(mark) == F.col("__f")) & F.col(key).eqNullSafe(F.col("__k")), "left_semi")
-    row = F.row_number().over(Window.partitionBy(mark, key).orderBy(F.xxhash64(text)))
-    return chosen.withColumn("__row", row).where("__row = 1").drop("__row", mark)
+    tie = "__simhash_tie"
+    seen = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    prints = cut(with_wide(seen, "text", shingle).drop("text"))
+    words = [f"c{i}" for i in range(WIDE)]
+    codes = cut(prints.groupBy("fp").agg(*[F.first(w).alias(w) for w in words]))
+    roots = connected_components(link_similar(codes, similarity)).withColumnRenamed("node", "fp")
+    placed = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tie"))
+    kept = placed.groupBy("root").agg(best.alias("b")).select(F.col("b.key").alias("__k"), F.col("b.tie").alias("__t"))
+    marked = docs.withColumn(tie, F.xxhash64(text))
+    chosen = marked.join(kept, (F.col(tie) == F.col("__t")) & F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    row = F.row_number().over(Window.partitionBy(tie, key).orderBy(F.lit(0)))
+    return chosen.withColumn("__row", row).where("__row = 1").drop("__row", tie)
