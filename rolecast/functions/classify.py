@@ -1,9 +1,8 @@
 """Ordered dictionary rules as Column expressions.
 
-A rule set is a literal array of (needle, label) in order of precedence; a text gets the
-label of the first needle that hits. The arrays are folded into the plan, so classifying
-needs no join and stays inside the scan's stage. Each builder also gives its rules as rows,
-from which other engines' SQL can be generated.
+A rule set is a list of (needle, label) in order of precedence; a text gets the label of the
+first needle that hits. The list is folded into the plan, so classifying needs no join and
+stays inside the scan's stage. Other engines' SQL can be generated from the same lists.
 """
 
 import re
@@ -58,22 +57,25 @@ def hint_rules() -> list[tuple[str, str]]:
     return [(needle, name) for name, needles in d.INDUSTRY_HINTS for needle in needles]
 
 
-def _rules(rules: list[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(v).alias("label")) for n, v in rules])
-
-
 def _first_hit(text: Column, rules: list[tuple[str, str]], edge: str | None) -> Column:
-    """The label of the first needle in text. edge: characters that may not touch the needle's first occurrence."""
-
-    def hit(rule: Column) -> Column:
-        at = F.instr(text, rule["needle"])
-        found = at > 0
-        if edge is None:
-            return found
-        before, after = F.substring(text, at - 1, F.lit(1)), F.substring(text, at + F.length(rule["needle"]), F.lit(1))
-        return found & ~((at > 1) & before.rlike(edge)) & ~after.rlike(edge)
-
-    return F.try_element_at(F.filter(_rules(rules), hit), F.lit(1))["label"]
+    """The label of the first needle in text. edge: characters that may not touch the needle's first occurrence.
+
+    A chain of literal searches that ends at the first hit; the text is bound once, so that
+    the chain does not repeat how it is made.
+    """
+
+    def chain(t: Column) -> Column:
+        out = F
+        for needle, label in rules:
+            hit = F.contains(t, F.lit(needle))
+            if edge is not None:
+                at = F.instr(t, F.lit(needle))
+                touches = ((at > 1) & F.substring(t, at - 1, F.lit(1)).rlike(edge)) | F.substring(t, at + len(needle), F.lit(1)).rlike(edge)
+                hit = hit & ~touches
+            out = out.when(hit, F.lit(label))
+        return out
+
+    return F.get(F.transform(F.array(text), chain), F.lit(0))
 
 
 def _place(location: Column) -> Column:

@@ -4,7 +4,7 @@ Every provider is one Column expression from the URL's host and path to a struct
 where the URL is none of its boards; a URL's board is the first that is not null.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.functions.text import path_segments, url_encode_component, url_host, url_path
@@ -172,3 +172,13 @@ def parse_board(url: Column, hint: str | None = None) -> Column:
     host, path, segments = url_host(url), url_path(url), path_segments(url)
     names = [hint] if hint else list(GRAMMAR)
     return F.coalesce(*[GRAMMAR[n](host, path, segments) for n in names])
+
+
+def with_board(frame: DataFrame, url: str, name: str = "board", hint: str | None = None) -> DataFrame:
+    """frame with the board of a URL column; host, path and segments are made once for all providers."""
+    if hint is not None and hint not in GRAMMAR:
+        raise ValueError(f"unsupported provider: {hint}")
+    u, parts = F.col(url), ("__host", "__path", "__segments")
+    cut = frame.withColumns(dict(zip(parts, (url_host(u), url_path(u), path_segments(u)))))
+    found = F.coalesce(*[GRAMMAR[n](*map(F.col, parts)) for n in ([hint] if hint else GRAMMAR)])
+    return cut.withColumn(name, found).drop(*parts)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecast.functions.grammar import PROVIDERS, TARGETS, parse_board
+from rolecast.functions.grammar import PROVIDERS, TARGETS, with_board
 from rolecast.functions.text import positive_modulo
 
 SAMPLE_URLS = 3
@@ -45,7 +45,7 @@ def merge_registry(records: DataFrame, order: str = "ord") -> DataFrame:
 
 def discovered_records(urls: DataFrame, hint: str | None = None) -> DataFrame:
     """urls (url, discovery_source, discovered_at, ord): registry records of those that are boards."""
-    found = urls.withColumn("b", parse_board(F.col("url"), hint)).where("b is not null")
+    found = with_board(urls, "url", "b", hint).where("b is not null")
     return found.select(
         "b.*",
         F.array_compact(F.array("discovery_source")).alias("discovery_sources"),

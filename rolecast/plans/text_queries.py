@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions import classify, text
 from rolecast.functions.dictionaries import ANYWHERE, CATEGORIES, INDUSTRY_OF_ROLE, US_STATE_CODES
-from rolecast.functions.grammar import TARGETS, parse_board
+from rolecast.functions.grammar import TARGETS, parse_board, with_board
 from rolecast.operators import registry
 from rolecast.plans import analogues as a
 from rolecast.plans.queries import query, sql_text, sql_values, values
@@ -207,7 +207,7 @@ def board_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def board_grammar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards of URLs made from the pages' hosts."""
     url = F.concat(F.lit("jobs.lever.co/"), F.split(text.url_host(F.col("url")), r"\.")[0], F.lit("/"), F.col("page_id").cast("string"))
-    return a.table(spark, sf_dir, "pages").select("page_id", parse_board(url).alias("b")).select("page_id", "b.key", "b.api_url")
+    return with_board(a.table(spark, sf_dir, "pages").select("page_id", url.alias("board")), "board").select("page_id", "board.key", "board.api_url")
 
 
 @query(f"SELECT * FROM {sql_values('v', 'provider, pattern, region', *[(t[0], t[1], t[4]) for t in TARGETS])}")
