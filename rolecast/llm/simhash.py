@@ -270,7 +270,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
 WIDE = 4
 #: Share of pairs at the least similarity that some cell brings together, and standard deviations kept beyond their mean difference.
-RECALL, SPREAD = 0.99, 2.0
+RECALL, SPREAD = 0.99, 1.0
 #: A hot cell's members are dealt again by so many more bits, in so many ways: fewer than one link in a thousand is lost to it.
 MORE_BITS, MORE_WAYS = 6, 16
 
