@@ -131,3 +131,25 @@ def credit_budget(limit: int, budget: int) -> tuple[int, int]:
     """Queries that a credit budget allows and the credits they use: two credits for each started ten results."""
     each = max(2, -(-limit // 10) * 2)
     return budget // each, budget // each * each
+
+
+def import_boards(records: DataFrame, providers: list[str] | None = None, only_validated: bool = False) -> DataFrame:
+    """Registry records (with ord) as boards to import: of the wanted providers, validated if asked for, canonical, the last of a key."""
+    found = records
+    if providers:
+        found = found.where(F.col("provider").isin(providers))
+    if only_validated:
+        found = found.where(F.get_json_object("validation", "$.status") == "active")
+    found = with_board(found, "board_url", "__b")
+    for c in ("key", "provider", "identifier", "region", "board_url", "api_url"):
+        found = found.withColumn(f"__{c}", F.coalesce(F.col("__b")[c], F.col(c)))
+    last = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc("ord")))
+    found = found.withColumn("__rn", last).where("__rn = 1 and __key is not null")
+    return found.select(*[F.col(f"__{c}").alias(c) for c in ("key", "provider", "identifier", "region", "board_url", "api_url")])
+
+
+def upsert_pages(state: DataFrame, pages: DataFrame) -> DataFrame:
+    """Discovery pages (id, status, url_count, updated_at) after newer ones: the newest row of an id replaces the others."""
+    both = state.withColumn("__new", F.lit(0)).unionByName(pages.withColumn("__new", F.lit(1)))
+    rn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("__new"), F.desc("updated_at")))
+    return both.withColumn("__rn", rn).where("__rn = 1").drop("__rn", "__new")

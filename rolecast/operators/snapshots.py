@@ -242,3 +242,21 @@ def provider_health(state: DataFrame, results: DataFrame) -> DataFrame:
 def merge_columns(state: DataFrame, schema_of: DataFrame) -> DataFrame:
     """Additive schema evolution: columns that the state lacks are added as nulls."""
     return state.unionByName(schema_of.limit(0), allowMissingColumns=True)
+
+
+def compact_jobs(jobs: DataFrame, mode: Mode = PRODUCTION) -> DataFrame:
+    """Postings as a hosted table keeps them: without descriptions, departments and pay, with defaults and a fingerprint."""
+    slim = jobs.drop("description_plain", "department", "apply_url", "compensation_json")
+    slim = slim.withColumns({"workplace": F.coalesce("workplace", F.lit("Unspecified")), "category": F.coalesce("category", F.lit("Other")), "source_id": F.col("source_id").cast("string")})
+    return slim.withColumn("fingerprint", job_fingerprint(mode))
+
+
+def sound_requests(requests: DataFrame) -> DataFrame:
+    """Pushed postings (board: struct, job: struct) that can be applied: every required field is there and the posting is of its board."""
+    there = lambda c: F.coalesce(F.col(c).cast("string") != "", F.lit(False))
+    board = [there(f"board.{c}") for c in ("key", "provider", "identifier", "status", "synced_at")]
+    job = [there(f"job.{c}") for c in ("key", "source_id", "board_key", "provider", "company_identifier", "title", "url")]
+    ok = F.col("job.board_key") == F.col("board.key")
+    for c in (*board, *job):
+        ok = ok & c
+    return requests.where(F.coalesce(ok, F.lit(False)))

@@ -253,3 +253,38 @@ def page_count(text: str) -> int:
 def register(spark) -> None:
     spark.dataSource.register(BoardSource)
     spark.dataSource.register(CrawlSource)
+
+
+def search_urls(send: Transport, endpoint: str, queries: list[str], limit: int = 20, budget: int = 10, key: str = "") -> tuple[list[str], int]:
+    """URLs that a paid web search finds, each once, and the credits used; a budget of credits bounds the queries, two credits for each started ten results."""
+    each = max(2, -(-limit // 10) * 2)
+    found: dict[str, None] = {}
+    wanted = queries[: budget // each]
+    for query in wanted:
+        text = request(send, endpoint, method="POST", body=json.dumps({"query": query, "limit": limit}), headers={"authorization": f"Bearer {key}"} if key else {})
+        try:
+            data = json.loads(text).get("data") or []
+        except (ValueError, AttributeError):
+            raise InvalidPayload("expected search results") from None
+        results = data.get("web", []) if isinstance(data, dict) else data
+        found |= dict.fromkeys(r["url"] for r in results if isinstance(r, dict) and r.get("url"))
+    return list(found), each * len(wanted)
+
+
+def board_logo(send: Transport, board: dict) -> str | None:
+    """A board's page, from which sources.staged.logo_candidates picks a logo; null without an address."""
+    url = board.get("board_url") or board.get("api_url")
+    return request(send, url) if url else None
+
+
+#: Requests to a provider at a time.
+CONCURRENCY = {"default": 8}
+
+
+def by_provider(frame, most: dict[str, int] | None = None):
+    """frame dealt so that at most so many tasks read from a provider at once."""
+    from pyspark.sql import functions as F
+
+    caps = {**CONCURRENCY, **(most or {})}
+    slots = F.coalesce(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col("provider")], F.lit(caps["default"]))
+    return frame.repartition("provider", F.pmod(F.xxhash64("key"), slots))
