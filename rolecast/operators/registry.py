@@ -32,15 +32,28 @@ def merge_registry(records: DataFrame, order: str = "ord") -> DataFrame:
     order of appearance; the earliest discovery date and the first validation win.
     """
     ord_ = F.col(order)
-    lists = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(ord_.alias("o"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("v")))), lambda x: x["v"])))
+
+    def distinct(column: str) -> DataFrame:
+        """(key, v, o): each element once for a key, with its first place. Elements of a hot key are combined before the shuffle."""
+        rows = records.select("key", ord_.alias("o"), F.posexplode(column).alias("at", "v"))
+        return rows.groupBy("key", "v").agg(F.min(F.struct("o", "at")).alias("o"))
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("o", "v")))
+        return rows.groupBy("key").agg(F.transform(ordered, lambda x: x["v"]).alias(name))
+
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("o"))
+    samples = distinct("sample_urls").withColumn("n", nth).where(F.col("n") <= SAMPLE_URLS)
     merged = records.groupBy("key").agg(
         *[F.min_by(c, ord_).alias(c) for c in ("provider", "identifier", "region", "board_url", "api_url")],
-        lists("discovery_sources").alias("discovery_sources"),
-        F.slice(lists("sample_urls"), 1, SAMPLE_URLS).alias("sample_urls"),
         F.min("first_discovered_at").alias("first_discovered_at"),
         F.min_by("validation", F.when(F.col("validation").isNotNull(), ord_)).alias("validation"),
     )
-    return merged
+    merged = merged.join(listed(distinct("discovery_sources"), "discovery_sources"), "key", "left").join(listed(samples, "sample_urls"), "key", "left")
+    none = F.array().cast("array<string>")
+    return merged.withColumns({c: F.coalesce(c, none) for c in ("discovery_sources", "sample_urls")}).select(
+        "key", "provider", "identifier", "region", "board_url", "api_url", "discovery_sources", "sample_urls", "first_discovered_at", "validation"
+    )
 
 
 def discovered_records(urls: DataFrame, hint: str | None = None) -> DataFrame:
@@ -60,7 +73,10 @@ def round_robin(frame: DataFrame, group: str, order: str, limit: int) -> DataFra
     """Rows taken in turn from each group, groups in the order of their first row."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
     first = F.min(order).over(Window.partitionBy(group))
-    return frame.withColumn("turn", turn).withColumn("first", first).orderBy("turn", "first").limit(max(0, limit)).drop("first")
+    limit = max(0, limit)
+    # no group gives more rows than the limit, so each task drops the rest before it sorts
+    picked = frame.withColumn("turn", turn).where(F.col("turn") <= limit)
+    return picked.withColumn("first", first).orderBy("turn", "first").limit(limit).drop("first")
 
 
 def even_pages(total: Column, most: Column) -> Column:
