@@ -17,7 +17,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 2048
 #: Rows that one task puts in order at a time.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 1024
 #: Points are multiples of 2^-POINT_BITS; cells of the unit interval through which they find their source.
 POINT_BITS, CELLS = 40, 4096
 SEED = 6
