@@ -30,8 +30,8 @@ TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\])*?)</turn>\n", re.S)
 LEARNED = "assistant"
 #: Bytes of each turn's hash in a path.
 STEP = 12
-#: Nodes that one task puts in order at a time; beyond MAX_RANGES times as many the ranges grow.
-RANGE_ROWS, MAX_RANGES = 4096, 10_000
+#: Nodes in a range of the order, on average; beyond MAX_RANGES times as many the ranges grow.
+RANGE_ROWS, MAX_RANGES = 256, 10_000
 
 
 def escape(text: str) -> str:
