@@ -10,6 +10,8 @@ each term with probability 1/4, 1/8, and so on. Sparse lexicons survive larger e
 dense ones tell small documents apart, so the share of equal hashes grades likeness.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,9 @@ def _places(found: list[int]) -> tuple[list[int], list[int], int]:
         bits += 1
 
 
-def _literal(values: list[int]) -> Column:
+def _literal(values: list[int | None]) -> Column:
     """An array literal, folded from text when the query is planned."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, values))), ",").try_cast("array<bigint>")
 
 
 def member(found: list[int]):
@@ -132,6 +134,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     return kept.select(key, hashes(F.col("__terms"), F.col("__text")).alias("fingerprint"))
 
 
+def _ends_above(key: Column, ends: list[int]) -> Column:
+    """How many of the ends, which descend, are at least key: by blocks first, then within one."""
+    if not ends:
+        return F.lit(0)
+    step = math.isqrt(len(ends)) + 1
+    many = lambda a: F.size(F.filter(a, lambda e: e >= key))
+    blocks = many(_literal(ends[step - 1 :: step])) if len(ends) >= step else F.lit(0)
+    return blocks * step + many(F.slice(_literal(ends), blocks * step + 1, F.lit(step)))
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, group, ghost): rows in groups by descending key, each group ending with the next one's first row as a ghost.
 
@@ -147,22 +159,19 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     if shares:
         ends = sorted(set(rows.agg(F.percentile_approx("__key", shares, 100_000)).first()[0] or []), reverse=True)
     # group i holds the keys k with exactly i ends above or at k; nulls are in the last
-    above = F.size(F.filter(_literal(ends), lambda e: e >= F.col("__key"))) if ends else F.lit(0)
-    placed = rows.withColumn("__group", F.when(F.col("__key").isNull(), F.lit(len(ends))).otherwise(above))
-    heads = sorted((r["g"], r["n"], r["k"]) for r in placed.groupBy(F.col("__group").alias("g")).agg(F.max("__key").alias("k"), F.count("__key").alias("n")).collect()) if total else []
-    before = {}  # from the first key of a group to the group that it ends as a ghost
-    for i, (_, _, first) in enumerate(heads):
-        before.setdefault(first, []).append(heads[i - 1][0])
-    ghost = F.array().cast("array<int>")
-    if heads:
-        firsts = F.create_map(*[x for k, v in before.items() if k is not None for x in (F.lit(k), F.lit(v[0]))]) if any(k is not None for k in before) else None
-        ghost = F.when(F.col("__key").isNotNull(), firsts[F.col("__key")]) if firsts is not None else F.lit(None).cast("int")
-        if None in before:
-            ghost = F.when(F.col("__key").isNull(), F.lit(before[None][0])).otherwise(ghost)
-        ghost = F.array_compact(F.array(ghost))
+    group = F.when(F.col("__key").isNull(), F.lit(len(ends))).otherwise(_ends_above(F.col("__key"), ends))
+    placed = rows.withColumn("__group", group)
+    firsts = {r["g"]: r["k"] for r in placed.groupBy(F.col("__group").alias("g")).agg(F.max("__key").alias("k")).collect()}
+    there = sorted(firsts)
+    previous = dict(zip(there, [*there[-1:], *there[:-1]]))
+    # the first key of each group, and the group before it, which ends with that row as a ghost
+    first = _literal([firsts.get(g) for g in range(len(ends) + 1)])
+    before = _literal([previous.get(g) for g in range(len(ends) + 1)])
+    at = F.col("__group").cast("int")
+    ghost = F.when(F.col("__key").eqNullSafe(F.get(first, at)), F.get(before, at))
     places = F.concat(
-        F.array(F.struct(F.col("__group").cast("int").alias("group"), F.lit(0).alias("ghost"))),
-        F.transform(ghost, lambda g: F.struct(g.cast("int").alias("group"), F.lit(1).alias("ghost"))),
+        F.array(F.struct(at.alias("group"), F.lit(0).alias("ghost"))),
+        F.transform(F.array_compact(F.array(ghost)), lambda g: F.struct(g.cast("int").alias("group"), F.lit(1).alias("ghost"))),
     )
     out = placed.select("__key", "__text", F.explode(places).alias("p")).select("__key", "__text", "p.group", "p.ghost")
     return out.repartition(partitions(spark), "group")

@@ -60,9 +60,12 @@ def test_license_scan_rows(docs, nothing):
 # I-Match
 
 
-def test_edits_against_brute_force(docs, spark):
+@pytest.mark.parametrize("group_rows", [500, 2])
+def test_edits_against_brute_force(docs, spark, monkeypatch, group_rows):
     import hashlib
 
+    monkeypatch.setattr(imatch, "GROUP_ROWS", group_rows)
+
     given = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     order = sorted(given, key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
     want = Counter()
