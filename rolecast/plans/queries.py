@@ -400,11 +400,11 @@ def page_sampling_rotating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_id % 40)) AS seen FROM events WHERE event_id % 5 = 0 GROUP BY 1), u AS (SELECT user_id, list_filter(range(40), lambda p: NOT list_contains(seen, p)) AS l FROM s)
+    """WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_id % 40)) AS seen FROM events WHERE event_type = 'view' GROUP BY 1), u AS (SELECT user_id, list_filter(range(40), lambda p: NOT list_contains(seen, p)) AS l FROM s)
     SELECT user_id, array_to_string(CASE WHEN len(l) <= 6 THEN l ELSE list_transform(list_sort(list_distinct(list_transform(range(6), lambda i: floor((user_id % len(l) + i * (len(l) / 6)) % len(l))::BIGINT))), lambda i: l[i + 1]) END, ',') AS pages FROM u"""
 )
 def page_sampling_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = a.table(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 40).alias("seen"))
+    seen = a.table(spark, sf_dir, "events").where("event_type = 'view'").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 40).alias("seen"))
     return seen.select("user_id", _joined(registry.unseen_pages(F.lit(40), F.lit(6), F.col("seen"), F.col("user_id"))).alias("pages"))
 
 

@@ -57,9 +57,9 @@ def sync_request_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.sound_requests(e.select(board.alias("board"), job.alias("job"))).select("job.key")
 
 
-@query(f"WITH {a.JOBS_SQL} SELECT key, published_at FROM jobs ORDER BY coalesce(published_at, '') DESC, key LIMIT 500")
+@query(f"WITH {a.JOBS_SQL} SELECT key, published_at FROM jobs ORDER BY coalesce(published_at, '') DESC, key")
 def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.export_order(a.jobs(spark, sf_dir).select("key", "published_at")).limit(500)
+    return sinks.export_order(a.jobs(spark, sf_dir).select("key", "published_at"))
 
 
 COMPACT = ["key", "source_id", "board_key", "provider", "company_identifier", "company_name", "company_logo_url", "title", "location", "country", "city", "role_family", "company_industry", "workplace", "employment_type", "category", "url"]

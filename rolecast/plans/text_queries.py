@@ -45,11 +45,11 @@ def fingerprint_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT doc_id, list_reduce(list_transform(string_split(substr(text, 1, 60), ''), lambda x: ascii(x)::BIGINT), lambda h, x: (h * 31 + x) & 4294967295, 0::BIGINT) AS hash FROM documents)
+    """WITH h AS (SELECT doc_id, list_reduce(list_transform(string_split(text, ''), lambda x: ascii(x)::BIGINT), lambda h, x: (h * 31 + x) & 4294967295, 0::BIGINT) AS hash FROM documents)
     SELECT doc_id, hash, hash % 8 AS colour FROM h"""
 )
 def hash32_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = text.hash32(F.substring("text", 1, 60))
+    h = text.hash32(F.col("text"))
     return a.table(spark, sf_dir, "documents").select("doc_id", h.alias("hash"), (h % 8).alias("colour"))
 
 
@@ -165,9 +165,9 @@ def truncate_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(trim(substr(text, 1, 200), ' ')), '[\\p{L}\\p{N}][\\p{L}\\p{N}._+#-]*')[:8], ' ') AS tokens FROM documents")
+@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(trim(text, ' ')), '[\\p{L}\\p{N}][\\p{L}\\p{N}._+#-]*')[:8], ' ') AS tokens FROM documents")
 def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.fts_tokens(F.substring("text", 1, 200)), " ").alias("tokens"))
+    return a.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.fts_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(
