@@ -68,10 +68,8 @@ def _first_hit(text: Column, rules: list[tuple[str, str]], edge: str | None) ->
         out = F
         for needle, label in rules:
             hit = F.contains(t, F.lit(needle))
-            if edge is not None:
-                at = F.instr(t, F.lit(needle))
-                touches = ((at > 1) & F.substring(t, at - 1, F.lit(1)).rlike(edge)) | F.substring(t, at + len(needle), F.lit(1)).rlike(edge)
-                hit = hit & ~touches
+            if edge is not None:  # what comes before the first occurrence holds no other
+                hit = hit & t.rlike(rf"(?s)^(?:(?!\Q{needle}\E).)*+(?<!{edge})\Q{needle}\E(?!{edge})")
             out = out.when(hit, F.lit(label))
         return out
 
