@@ -76,8 +76,6 @@ def stream(spark: SparkSession, source: DataFrame, state: SnapshotState, split,
 
 # Board state with timers, kept by the stream itself -------------------------------------
 
-BOARD_STATE = "status string, failures int, synced_at string, next_sync_at string"
-
 
 def board_state_machine():
     """A stateful processor: results of a board (status, synced_at) in, its state after each out."""
