@@ -10,8 +10,9 @@ prunes whole groups at once. A shard returns a spanning forest of its links, nev
 pairs. Members of an overfull shard go on to a finer choice of blocks, which is as exact.
 
 De-duplication by a similarity asks for far more differing bits than blocks can bear. It
-takes a wider fingerprint, whose shards are patterns of drawn bits, and searches them in
-the same way.
+takes a wider fingerprint of the set of shingles, whose shards are patterns of drawn bits,
+and searches them in the same way; what it finds are candidates, and only texts whose sets
+of shingles are as similar as asked are linked.
 """
 
 from collections.abc import Iterator
@@ -270,18 +271,25 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
 WIDE = 4
 #: Share of pairs at the least similarity that some cell brings together, and standard deviations kept beyond their mean difference.
-RECALL, SPREAD = 0.99, 1.0
+RECALL, SPREAD = 0.99, 3.0
 #: A hot cell's members are dealt again by so many more bits, in so many ways: fewer than one link in a thousand is lost to it.
 MORE_BITS, MORE_WAYS = 6, 16
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """The SimHash of a text in 64 * WIDE bits."""
+def shingles(text: str | None, shingle: int) -> set[bytes]:
+    """The shingles of a text, each once; a shorter text is one shingle, a blank one has none."""
     found = word_bytes(text)
     if not found:
-        return bytes(8 * WIDE)
+        return set()
     found = b" ".join(found).lower().split(b" ")
-    grams = list(map(b" ".join, zip(*(found[i:] for i in range(shingle))))) if len(found) >= shingle else [b" ".join(found)]
+    return set(map(b" ".join, zip(*(found[i:] for i in range(shingle))))) if len(found) >= shingle else {b" ".join(found)}
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """The SimHash of a text's set of shingles in 64 * WIDE bits."""
+    grams = shingles(text, shingle)
+    if not grams:
+        return bytes(8 * WIDE)
     ones = []
     for seed in range(WIDE // 2):
         hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams, repeat(seed))), np.uint8).reshape(len(grams), 16)
@@ -305,7 +313,7 @@ def with_wide(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
 
 def radius(similarity: float) -> tuple[float, int]:
-    """The chance that a bit differs between texts of this Jaccard similarity, and the differences up to which they link."""
+    """The chance that a bit differs between texts of this Jaccard similarity, and the differences up to which they are candidates."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = BITS * WIDE
     return p, int(np.ceil(n * p + SPREAD * np.sqrt(n * p * (1 - p))))
@@ -319,7 +327,7 @@ def _drawn(draw: np.random.Generator, bits: int) -> list[int]:
 
 
 def link_similar(codes: DataFrame, similarity: float, split_at: int = SPLIT_AT) -> DataFrame:
-    """codes (fp, c0, ...), distinct: edges whose components join texts of at least this similarity.
+    """codes (fp, c0, ...), distinct: edges whose components hold together the candidates for this similarity.
 
     Cells are patterns of drawn bits, so many of them that RECALL of the pairs at the least
     similarity share one, and nearly all more alike; within a cell every link is found.
@@ -339,10 +347,73 @@ def link_similar(codes: DataFrame, similarity: float, split_at: int = SPLIT_AT)
     return _span(cells.join(hot, "cell", "left_anti").unionByName(split), most, words)
 
 
+def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first index of each set's component over links of at least this Jaccard similarity, all pairs considered."""
+    sizes = np.array([len(s) for s in sets])
+    at = np.r_[0, np.cumsum(sizes)]
+    values, own = np.unique(np.concatenate(sets), return_inverse=True)
+    item, owner = own, np.repeat(np.arange(len(sets)), sizes)
+    root, held = np.full(len(sets), -1), np.zeros(len(values), bool)
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first], queue = first, [first]
+        while queue:
+            one = queue.pop()
+            mine = own[at[one] : at[one + 1]]
+            held[mine] = True
+            shared = np.bincount(owner[held[item]], minlength=len(sets))
+            held[mine] = False
+            near = np.flatnonzero((root < 0) & (shared / np.maximum(1, sizes + sizes[one] - shared) >= similarity))
+            if len(near):
+                root[near] = first
+                queue += near.tolist()
+                left = root[owner] < 0
+                item, owner = item[left], owner[left]
+    return root
+
+
+def _gram_sets(shingle: int):
+    """Rows (candidate, fp, text): the same with the hashes of the text's shingles in place of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array([xxhash.xxh3_64_intdigest(g, SEED) for g in shingles(t, shingle)], np.uint64).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["candidate", "fp", "grams"])
+
+    return run
+
+
+def _verify(similarity: float):
+    """Rows (candidate, fp, grams), sorted by candidate: the root of each fp over links of at least this similarity."""
+
+    def out(fps: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        one = dict(zip(fps, sets))  # repeated rows have the same set
+        fp = np.array(list(one), np.int64)
+        root = similar_roots([np.frombuffer(g, np.uint64) for g in one.values()], similarity)
+        return pa.record_batch([pa.array(fp), pa.array(fp[root])], names=["fp", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, sets = None, [], []
+        for batch in batches:
+            for candidate, fp, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if candidate != now and fps:
+                    yield out(fps, sets)
+                    fps, sets = [], []
+                now = candidate
+                fps.append(fp)
+                sets.append(grams)
+        if fps:
+            yield out(fps, sets)
+
+    return run
+
+
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Keeps one row of each group of texts linked by a SimHash similarity of at least `similarity`.
+    """Keeps one row of each group of texts linked by a Jaccard similarity of at least `similarity`.
 
-    That with the least key stays (nulls last), then that of the least text hash; of equal
+    The similarity is that of the texts' sets of shingles; SimHash only finds the candidates.
+    The row with the least key stays (nulls last), then that of the least text hash; of equal
     rows one. All columns are returned. Null and blank texts are alike. Empty in, empty out.
     """
     prepare(docs.sparkSession)
@@ -350,10 +421,14 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     seen = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     prints = cut(with_wide(seen, "text", shingle).drop("text"))
     words = [f"c{i}" for i in range(WIDE)]
-    codes = cut(prints.groupBy("fp").agg(*[F.first(w).alias(w) for w in words]))
-    roots = connected_components(link_similar(codes, similarity)).withColumnRenamed("node", "fp")
-    placed = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tie"))
+    codes = cut(prints.groupBy("fp").agg(*[F.first(w).alias(w) for w in words], best.alias("b")))
+    near = connected_components(link_similar(codes, similarity)).withColumnRenamed("node", "fp").withColumnRenamed("root", "candidate")
+    asked = codes.join(near, "fp").select("candidate", "fp", F.col("b.key").alias("__k"), F.col("b.tie").alias("__t"))
+    texts = seen.join(asked, (F.col("tie") == F.col("__t")) & F.col("key").eqNullSafe(F.col("__k"))).select("candidate", "fp", "text")
+    sets = texts.mapInArrow(_gram_sets(shingle), "candidate long, fp long, grams binary").repartition(partitions(docs.sparkSession), "candidate")
+    roots = sets.sortWithinPartitions("candidate").mapInArrow(_verify(similarity), "fp long, root long")
+    placed = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = placed.groupBy("root").agg(best.alias("b")).select(F.col("b.key").alias("__k"), F.col("b.tie").alias("__t"))
     marked = docs.withColumn(tie, F.xxhash64(text))
     chosen = marked.join(kept, (F.col(tie) == F.col("__t")) & F.col(key).eqNullSafe(F.col("__k")), "left_semi")

@@ -243,6 +243,64 @@ def test_dedup_keeps_one_of_each_group(docs, nothing, spark):
     assert simhash.simhash_dedup(nothing).count() == 0
 
 
+def grams_of(text, n=5):
+    found = [w.lower() for w in WORD.findall(text or "")]
+    return {tuple(found[i : i + n]) for i in range(max(1, len(found) - n + 1))} if found else set()
+
+
+def brute_kept(given, least=0.8):
+    """The least id of each component over links of at least this Jaccard similarity, from (id, text)."""
+    sets = [grams_of(t) for _, t in given]
+    root = list(range(len(given)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b):
+                root[find(i)] = find(k)
+    groups = {}
+    for i, (key, _) in enumerate(given):
+        groups.setdefault(find(i), []).append(key)
+    return {min(g) for g in groups.values()}
+
+
+def test_dedup_against_exact_similarity(spark):
+    draw = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in draw.integers(0, 1 << 40, n)]
+    given = []
+    for k in range(60):  # a text of 200 shingles and its beginning: similarity 0.80 to 0.84, then 0.60 to 0.795
+        words = fresh(204)
+        cut = 164 + 2 * (k % 5) if k < 30 else 124 + (k - 30) * 39 // 29
+        given += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:cut]))]
+    line = "\n" + " ".join(fresh(20))
+    given += [(200 + i, " ".join(fresh(200)) + line * 10) for i in range(4)]  # one line of ten repeats is all they share
+    texts = [fresh(100)]
+    for i in range(6):  # a chain: each is like the next, the ends are not alike
+        texts.append(texts[-1][6:] + fresh(6))
+    given += [(300 + i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_kept(given)
+    kept = {r.doc_id for r in simhash.simhash_dedup(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert want <= kept  # nothing goes that is not alike
+    assert len(kept - want) <= 1  # of 36 links at the edge one may share no cell
+    assert {i for i in kept if i >= 200} == {200, 201, 202, 203, 300}
+
+
+def test_similar_roots_against_brute_force():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 14, draw.integers(1, 12))).astype(np.uint64) for _ in range(120)]
+    given = [(i, frozenset(s.tolist())) for i, s in enumerate(sets)]
+    root = list(range(120))
+    for i, a in given:
+        for k, b in given[:i]:
+            if len(a & b) >= 0.8 * len(a | b):
+                root = [min(root[i], root[k]) if r in (root[i], root[k]) else r for r in root]
+    assert simhash.similar_roots(sets, 0.8).tolist() == root
+
+
 # Classifier
 
 
