@@ -20,7 +20,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count, islice
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +51,9 @@ class Settings:
     noise: int = 48
     batch: int = 512
     rate: float = 0.08
-    #: The first round sees every position of one training document in `pilot`, the second one position in `stride` of all.
+    #: The first round sees every position of one training document in `pilot`, the second one position in `stride` of all: each.
     pilot: int = 24
-    stride: int = 10
+    stride: int = 1
 
 
 def key_of(word: bytes) -> int:
@@ -63,7 +63,8 @@ def key_of(word: bytes) -> int:
 
 def bucket_of(word: bytes, buckets: int) -> int:
     bare = word.rstrip(MARKS)
-    return zlib.crc32(bare[-3:] + b"\0" + word[len(bare) :][:1]) % buckets
+    end = len(bare)
+    return zlib.crc32(bare[-3:] + b"\0" + word[end : end + 1]) % buckets
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -125,7 +126,8 @@ class Lookup:
 
     def _learn(self, words: list[bytes]) -> None:
         known, s = self.known, self.known.settings
-        keys = np.fromiter(map(key_of, words), np.int64, len(words))
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+        keys = (keys ^ np.uint64(1 << 63)).view(np.int64)  # as key_of
         classes = np.fromiter((s.words + bucket_of(w, s.buckets) for w in words), np.int64, len(words))
         at = np.minimum(np.searchsorted(known.keys, keys), max(0, len(known.keys) - 1))
         there = known.keys[at] == keys if len(known.keys) else np.zeros(len(keys), bool)
@@ -213,7 +215,10 @@ class Network:
         return np.stack([padded[places - 1 - i] for i in range(c)])
 
     def predictions(self, windows: np.ndarray) -> np.ndarray:
-        return sum(self.context[i][w] for i, w in enumerate(windows))
+        out = self.context[0].take(windows[0], 0)
+        for i, w in enumerate(windows[1:], 1):
+            out += self.context[i].take(w, 0)
+        return out
 
     def log10(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised log-probabilities of the targets, by products of a block of tokens with all classes."""
@@ -231,34 +236,41 @@ class Network:
 
     def train(self, windows: np.ndarray, targets: np.ndarray, squares: np.ndarray, share: np.ndarray, draw: np.random.Generator) -> None:
         """One pass of noise-contrastive estimation with Adagrad, a block of positions at a time."""
-        s, size = self.settings, self.size
-        order, log_share = draw.permutation(len(targets)), np.log(share)
+        s, size, d = self.settings, self.size, self.settings.width
+        order = draw.permutation(len(targets))
+        odds = (np.log(share) + np.log(s.noise)).astype(np.float32)
         step = Network(np.zeros_like(self.flat), size, s)
+        cells, edges = np.arange((size + 1) * d).reshape(size + 1, d), np.r_[0, np.cumsum(share)[:-1]]
+
+        def added(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+            """The sums of the rows by their place."""
+            return np.bincount(cells.take(at, 0).ravel(), rows.ravel(), n * d).reshape(n, d)
+
         for a in range(0, len(order), s.batch):
             at = order[a : a + s.batch]
-            n, w, t = len(at), windows[:, order[a : a + s.batch]], targets[order[a : a + s.batch]]
-            noise = draw.choice(size, s.noise, p=share)
+            n, w, t = len(at), windows.take(at, 1), targets.take(at)
+            noise = np.searchsorted(edges, draw.random(s.noise), side="right") - 1
             r = self.predictions(w)
-            v, q = self.vectors[t], self.vectors[noise]
-            odds = np.log(s.noise)
-            hit = 1 / (1 + np.exp(np.clip((r * v).sum(1) + self.bias[t] - log_share[t] - odds, -30, 30)))  # 1 - sigma
-            miss = -1 / (1 + np.exp(-np.clip(r @ q.T + self.bias[noise] - log_share[noise] - odds, -30, 30)))  # - sigma
-            hit, miss = hit.astype(np.float32), miss.astype(np.float32)
-            to = np.zeros((size, n), np.float32)
-            to[t, np.arange(n)] = 1
-            step.flat[:] = 0
-            step.vectors[:] = to @ (hit[:, None] * r)
-            np.add.at(step.vectors, noise, miss.T @ r)
-            step.bias[:] = to @ hit
-            np.add.at(step.bias, noise, miss.sum(0))
-            back = hit[:, None] * v + miss @ q
+            v, q = self.vectors.take(t, 0), self.vectors.take(noise, 0)
+            hit = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", r, v) + (self.bias - odds).take(t), -30, 30)))  # 1 - sigma
+            miss = r @ q.T
+            miss += (self.bias - odds).take(noise)
+            np.clip(miss, -30, 30, out=miss)
+            np.exp(np.negative(miss, out=miss), out=miss)
+            miss += 1
+            np.divide(-1, miss, out=miss)  # - sigma
+            step.vectors[:] = added(hit[:, None] * r, t, size)
+            step.vectors += added(miss.T @ r, noise, size)
+            step.bias[:] = np.bincount(t, hit, size) + np.bincount(noise, miss.sum(0), size)
+            back = (hit[:, None] * v + miss @ q).astype(np.float64)
             for i in range(s.context):
-                one = np.zeros((size + 1, n), np.float32)
-                one[w[i], np.arange(n)] = 1
-                step.context[i] = one @ back
-            g = step.flat / n
+                step.context[i] = added(back, w[i], size + 1)
+            g = step.flat
+            g /= n
             squares += g * g
-            self.flat += s.rate * g / np.sqrt(squares + 1e-6)
+            g *= s.rate
+            g /= np.sqrt(squares + np.float32(1e-6))
+            self.flat += g
 
 
 def _learn(known, stride: int, settings: Settings):

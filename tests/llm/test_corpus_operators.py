@@ -152,6 +152,23 @@ def test_held_out_text_is_more_likely_than_its_words(spark):
     assert gain > 0.1
 
 
+def test_every_position_is_trained(spark, monkeypatch):
+    """The last round, as production sets it, sees each token of each training document."""
+    texts = [(i, prose(i, 15 + i)) for i in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    seen, learn = [], neural_lm._learn
+
+    def watched(shared, stride, settings):
+        run = learn(shared, stride, settings)
+        train = frame.where("crc32(cast(doc_id as string)) % 10 <> 0").select("text").coalesce(1)
+        seen.append(train.mapInArrow(run, "i int, value double, seen long").first().seen)
+        return run
+
+    monkeypatch.setattr(neural_lm, "_learn", watched)
+    neural_lm.lm_scores(frame).count()
+    assert seen[-1] == sum(len(neural_lm.tokens(t)) for i, t in texts if zlib.crc32(str(i).encode()) % 10)
+
+
 def test_probabilities_add_up_to_one():
     s = neural_lm.Settings(words=5, buckets=3, context=2, width=4)
     known = neural_lm.Vocabulary(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 10, 8, np.ones(8), np.ones(8), s)
