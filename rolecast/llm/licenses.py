@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from rolecast.llm.common import prepare
 
-#: A text without any of these has no licence sentence.
-CUES = re.compile(r"licen[cs]e|copyright|\(c\)|permission|warrant|redistribut|rights reserved|public domain|liab(?:le|ility)|spdx", re.I)
+#: A text without any of these has no licence sentence. Each is within a word, so that no line's end can part it.
+CUES = re.compile(r"licen[cs]e|copyright|\(c\)|permission|warrant|redistribut|reserved|domain|liab(?:le|ility)|spdx|gpl|\bmpl|commons|\bcc0?(?![a-z0-9])|contributors", re.I)
 #: A sentence with any of these that no table knows is an unknown licence statement.
 STRONG = re.compile(r"\blicen[cs]ed? (?:under|to|by)\b|\blicen[cs]e(?: agreement)?$|^spdx |\ball rights reserved\b|\bpermission is (?:hereby )?granted\b|\bredistribution\b")
 
@@ -96,8 +96,8 @@ def normalise(sentence: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9+]+", " ", MARKS.sub("", sentence).lower()).split())
 
 
-def sentences(text: str | None) -> list[str]:
-    """The normalised sentences that hold a cue, in order. Wrapped lines are joined where a sentence goes on."""
+def sentences(text: str | None) -> list[tuple[str, bool]]:
+    """The normalised sentences of a text that holds a cue, in order, and whether each holds one. Wrapped lines are joined where a sentence goes on."""
     if not text or not CUES.search(text):
         return []
     found, start = [], 0
@@ -105,7 +105,7 @@ def sentences(text: str | None) -> list[str]:
         raw = text[start : end.start() if end else len(text)]
         start = end.end() if end else start
         if len(raw) < 5000 and (now := normalise(raw)):
-            found.append(now)
+            found.append((now, bool(CUES.search(raw))))
     return found
 
 
@@ -136,8 +136,8 @@ def scan(text: str | None) -> tuple[list[str], list[str], int]:
     """Identifiers in order, licences in the order of their first sentences, and cue sentences that no table knows."""
     ids: list[tuple[str, dict[str, str]]] = []
     unknown = 0
-    for sentence in sentences(text):
-        if not CUES.search(sentence) and not (ids or "license" in sentence):
+    for sentence, cue in sentences(text):
+        if not cue and not ids:
             continue
         if (one := identify(sentence)) is not None:
             ids.append(one)

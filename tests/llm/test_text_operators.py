@@ -49,6 +49,39 @@ def test_licences(text, expected):
     assert licenses.scan(text)[1] == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Released under the GPL v3.", ["GPL-3.0-only"]),
+        ("Distributed under the LGPL v2.1.", ["LGPL-2.1-only"]),
+        ("Distributed under MPL 2.0.", ["MPL-2.0"]),
+        ("Available under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Available under Creative\n# commons BY 4.0.", ["CC-BY-4.0"]),
+        ("This work is released under CC0.", ["CC0-1.0"]),
+        ("This work is in the public\n# domain.", ["Public-Domain"]),
+    ],
+)
+def test_licences_of_few_words(text, expected):
+    assert licenses.scan(text)[1] == expected
+    assert licenses.scan("Prose first. " + text)[1] == expected
+
+
+def test_every_known_sentence_has_a_cue():
+    made = lambda pattern: re.sub(r"\(\?P<\w+>", "(?:", pattern)
+    hypothesis = pytest.importorskip("hypothesis")
+    for name, pattern in licenses.SENTENCES:
+        if name == "copyright":  # its short form is known by the "(c)" that normalising takes away
+            assert licenses.scan("(c) 2020 Someone")[0] == ["copyright"]
+            continue
+
+        @hypothesis.given(hypothesis.strategies.from_regex(made(pattern), fullmatch=True, alphabet=hypothesis.strategies.characters(codec="ascii")))
+        @hypothesis.settings(max_examples=60, deadline=None, derandomize=True)
+        def holds(sentence):
+            assert licenses.CUES.search(sentence), (name, sentence)
+
+        holds()
+
+
 def test_license_scan_rows(docs, nothing):
     found = rows(licenses.license_scan(docs))
     assert len(found) == docs.count()
