@@ -88,12 +88,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 KNOWN = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
 ENDS = re.compile(r"(?<=[.!?;])[\"')\]]*\s+|(?<=conditions:)\s+|(?<=met:)\s+|\n\s*\n|\n(?=\s*(?:[#*/-]+\s*)?(?:[A-Z(]|\d+\.))")
-MARKS = re.compile(r"^[\s#*/;|>-]+|\s*(?:\*/|-->)\s*$", re.M)
 
 
 def normalise(sentence: str) -> str:
     """Lower case, comment marks gone, one space between words; points, dashes and quotes are spaces."""
-    return " ".join(re.sub(r"[^a-z0-9+]+", " ", MARKS.sub("", sentence).lower()).split())
+    return " ".join(re.sub(r"[^a-z0-9+]+", " ", sentence.lower()).split())
 
 
 def sentences(text: str | None) -> list[tuple[str, bool]]:
@@ -104,7 +103,7 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
     for end in [*(m for m in ENDS.finditer(text)), None]:
         raw = text[start : end.start() if end else len(text)]
         start = end.end() if end else start
-        if len(raw) < 5000 and (now := normalise(raw)):
+        if now := normalise(raw):
             found.append((now, bool(CUES.search(raw))))
     return found
 

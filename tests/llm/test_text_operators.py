@@ -66,6 +66,14 @@ def test_licences_of_few_words(text, expected):
     assert licenses.scan("Prose first. " + text)[1] == expected
 
 
+def test_statements_in_long_runs():
+    run = "word " * 3000
+    assert licenses.scan(run + "licensed under the Foo licence " + run)[2] == 1
+    grant = "# Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    assert licenses.scan(grant.replace(" ", " " * 300))[1] == ["ISC"]
+    assert licenses.scan("licence" + " " * 300_000 + "x")[2] == 0  # in no time
+
+
 def test_every_known_sentence_has_a_cue():
     made = lambda pattern: re.sub(r"\(\?P<\w+>", "(?:", pattern)
     hypothesis = pytest.importorskip("hypothesis")
