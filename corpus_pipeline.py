@@ -38,7 +38,7 @@ STAGES = [
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]
-#: Models, hashes and the breeding of packings are beyond SQL; a test holds the stages against a brute-force version.
+#: Models, hashes and the breeding of packings are beyond SQL; tests hold near_dedup against exact components and the other stages' operators each against their own brute force.
 ORACLE_SQL = None
 
 

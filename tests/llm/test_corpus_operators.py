@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from rolecast.llm import chat, mixing, neural_lm, packing, warc
 from rolecast.llm.common import scratch
-from tests.llm.conftest import prose
+from tests.llm.conftest import SCHEMA, document, prose
 
 
 def rows(frame):
@@ -318,3 +318,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert set(now.columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     result = pipeline.run(spark, str(tmp_path))
     assert result.count() == sizes[-1]
+
+
+def test_near_dedup_stage_against_exact_components(spark, docs, tmp_path):
+    import corpus_pipeline as pipeline
+    from tests.llm.test_text_operators import brute_kept
+
+    docs = docs.where("doc_id is not null")
+    line = "\n" + prose(900, 20)  # repeated, it is all that two texts share
+    docs = docs.unionByName(spark.createDataFrame([document(70 + i, prose(901 + i, 200) + line * 10) for i in range(2)], SCHEMA))
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = Counter(r.doc_id for r in pipeline.near_dedup(spark, docs, str(tmp_path)).collect())
+    assert kept == Counter(brute_kept(given))
