@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in an Arrow batch handed to Python: a batch of very long texts stays small.
@@ -34,9 +35,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names. Unset, it is a temporary one on a single machine and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = f"file://{os.path.join(tempfile.gettempdir(), 'rolecast-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -68,6 +71,30 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: A key that holds more than one share of a side's rows is dealt over as many places as it fills shares.
+SHARES = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has at most one row for each value of `on`, with the hot keys of left spread by its column `by`.
+
+    Hot are the at most SHARES keys with over 1 / SHARES of left's rows each. Right's rows for
+    them are copied, at most 2 * SHARES times in all, and left's rows are dealt over the
+    copies, so that no task gets more than a share of one key. counts (on, count) may be given
+    where they are known. Null keys match nothing; how: inner, left or left_semi.
+    """
+    spark = left.sparkSession
+    counts = (left.groupBy(on).count() if counts is None else counts).where(F.col(on).isNotNull())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    most = counts.where(F.col("count") * SHARES > total).select(on, F.ceil(F.col("count") * SHARES / F.lit(max(1, total))).cast("int").alias("__ways")).where("__ways > 1").collect()
+    if not most:
+        return left.join(right, on, how)
+    hot = F.broadcast(spark.createDataFrame(most, T.StructType([counts.schema[on], T.StructField("__ways", T.IntegerType())])))
+    dealt = left.join(hot, on, "left").withColumn("__place", F.coalesce(F.pmod(F.xxhash64(by), F.col("__ways")), F.lit(0)).cast("int")).drop("__ways")
+    copied = right.join(hot, on, "left").withColumn("__place", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__ways"), F.lit(1)) - 1))).drop("__ways")
+    return dealt.join(copied, [on, "__place"], how).drop("__place")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
