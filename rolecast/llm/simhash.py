@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecast.llm.common import cut, partitions, prepare, word_bytes
+from rolecast.llm.common import cut, partitions, prepare, spread_join, word_bytes
 from rolecast.llm.components import connected_components
 
 BITS = 64
@@ -252,8 +252,8 @@ def simhash_classes(prints: DataFrame, distance: int = 4, key: str = "doc_id") -
     codes = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
     roots = connected_components(link_fingerprints(codes, distance)).withColumnRenamed("node", "fp")
     linked = codes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(least, "root").select("fp", "root", "component_id")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("count"))
+    return spread_join(linked, least.drop("count"), "root", "fp", counts=least.select("root", "count")).select("fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -264,7 +264,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     """
     prepare(docs.sparkSession)
     prints = cut(with_fingerprint(docs.select(key, text), text, shingle).select(key, "fp"))
-    return prints.join(simhash_classes(prints, distance, key), "fp").select(key, "fp", "component_id")
+    return spread_join(prints, simhash_classes(prints, distance, key), "fp", key).select(key, "fp", "component_id")
 
 
 # Similarity -----------------------------------------------------------------------------
