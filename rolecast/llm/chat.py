@@ -2,16 +2,17 @@ r"""Chat formatting as a prefix tree.
 
 Conversations that share their initial turns share the nodes of those turns. The forest is
 written depth-first, each node's tokens once; a node is a run of turns that no two
-conversations leave differently, and a token here is a code point of the formatted text. A node carries its place in the sequence, the position ids of its tokens (they count
-along the path from the root) and the intervals of the sequence that it may attend to: those
-of its ancestors and its own. The depth-first order is the order of the paths of turn
+conversations leave differently, and a token here is a code point of the formatted text. A
+node carries its place in the sequence, the position ids of its tokens (they count along the
+path from the root) and the intervals of the sequence that it may attend to: those of its
+ancestors and its own. The depth-first order is the order of the paths of turn
 hashes, and places are prefix sums over ranges of that order with even numbers of nodes, so
 that a first turn shared by very many conversations is still spread over tasks.
 
 A turn is written as ``### role: text</turn>`` and a line end. Within roles and texts a
-backslash stands before every backslash, ``###`` and ``</turn>`` (and, in roles, every
-colon), so that a control string of the template never occurs in them unescaped. The loss
-mask covers the escaped text of each assistant turn.
+backslash stands before every backslash, before the second of every two ``#`` and before the
+stroke of ``</turn>`` (and, in roles, before every colon), so that neither ``###`` nor
+``</turn>`` ever occurs in them. The loss mask covers the escaped text of each assistant turn.
 """
 
 import re
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolecast.llm.common import cut, keep, prepare
+from rolecast.llm.common import cut, keep, prepare, spread_join
 
 OPEN, CLOSE = "### ", "</turn>"
 TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\])*?)</turn>\n", re.S)
@@ -35,7 +36,7 @@ RANGE_ROWS, MAX_RANGES = 256, 10_000
 
 
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("###", "\\###").replace("</turn>", "\\</turn>")
+    return text.replace("\\", "\\\\").replace("##", "#\\#").replace("</turn>", "<\\/turn>")
 
 
 def unescape(text: str) -> str:
@@ -90,22 +91,20 @@ def walked(conversations: DataFrame) -> DataFrame:
 
 
 def _starts(walks: DataFrame) -> DataFrame:
-    """(conv_id, starts): the depths at which a conversation enters a new node.
+    """(conv_id, starts): the depths but 0 at which a conversation enters a new node, if any.
 
     A node is a run of turns that never parts: it ends where conversations go on
     differently, or where one of them ends.
     """
     steps = walks.select("conv_id", F.size("chain").alias("n"), "chain", F.posexplode("chain").alias("depth", "hash"))
     steps = steps.select("conv_id", "n", "depth", "hash", F.when(F.col("depth") > 0, F.get("chain", F.col("depth") - 1)).alias("parent"))
-    distinct = steps.groupBy("hash").agg(F.first("parent").alias("parent"), F.max((F.col("depth") == F.col("n") - 1).cast("int")).alias("ends"))
+    distinct = steps.groupBy("hash").agg(F.first("parent").alias("parent"), F.max((F.col("depth") == F.col("n") - 1).cast("int")).alias("ends"), F.count("*").alias("count"))
     distinct = keep(distinct, "chat-turns")
-    parts = distinct.groupBy("parent").agg(F.count("*").alias("children"))
-    ends = distinct.where("ends = 1").select(F.col("hash").alias("parent"), F.lit(1).alias("ended"))
-    enters = distinct.where("parent is null").select("hash").unionByName(
-        distinct.join(parts, "parent").join(ends, "parent", "left").where("children > 1 or ended = 1").select("hash")
-    )
-    found = steps.select("conv_id", "depth", "hash").join(enters, "hash", "left_semi")
-    return found.groupBy("conv_id").agg(F.array_sort(F.collect_list("depth")).alias("starts"))
+    # counted before the shuffle, so that a turn with very many continuations is a number of them
+    parting = distinct.where("parent is not null").groupBy(F.col("parent").alias("hash")).agg(F.count("*").alias("children")).where("children > 1").select("hash")
+    parting = parting.union(distinct.where("ends = 1").select("hash")).distinct()
+    after = spread_join(steps.where("depth < n - 1").select("conv_id", "depth", "hash"), parting, "hash", "conv_id", "left_semi", distinct.select("hash", "count"))
+    return after.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.col("depth") + 1)).alias("starts"))
 
 
 NODES = "conv_id long, leaf boolean, path binary, depth int, position long, text string, spans array<struct<first: int, last: int>>"
@@ -153,7 +152,8 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     prepare(conversations.sparkSession)
     walks = keep(walked(conversations), "chat-walks")
     starts = _starts(walks).withColumnRenamed("conv_id", "__conv")
-    along = walks.join(starts, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
+    along = walks.join(starts, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").drop("__conv")
+    along = along.withColumn("starts", F.concat(F.array(F.lit(0)), F.coalesce("starts", F.array().cast("array<int>"))))
     along = keep(along.mapInArrow(_nodes, NODES), "chat-nodes")
     nodes = along.groupBy("path").agg(F.first(F.struct("depth", "position", "text", "spans")).alias("n")).select("path", "n.*")
     nodes = keep(nodes.withColumn("length", F.length("text").cast("long")), "chat-distinct")
@@ -173,7 +173,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a node's ancestors are the prefixes of its path
     size = F.length("path")
     prefixes = F.transform(F.sequence(F.lit(1), (size / STEP).cast("int")), lambda d: F.substring(F.col("path"), F.lit(1), (d * STEP).cast("int")))
-    up = nodes.select(F.col("path").alias("node"), F.explode(prefixes).alias("path")).join(placed, "path")
+    up = spread_join(nodes.select(F.col("path").alias("node"), F.explode(prefixes).alias("path")), placed, "path", "node")
     attend = up.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("attend"))
     out = (
         nodes.drop("length")
@@ -190,8 +190,8 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """READ of every conversation, from the tree alone: each leaf's tokens are those of the intervals it attends to."""
     prepare(nodes.sparkSession)
-    spans = leaves.join(nodes.select("path", "attend"), "path").select("conv_id", F.explode("attend").alias("a")).select("conv_id", F.col("a.start").alias("start"))
-    pieces = spans.join(nodes.select("start", "text", "spans"), "start")
+    spans = spread_join(leaves, nodes.select("path", "attend"), "path", "conv_id").select("conv_id", F.explode("attend").alias("a"))
+    pieces = spread_join(cut(spans.select("conv_id", F.col("a.start").alias("start"))), nodes.select("start", "text", "spans"), "start", "conv_id")
     whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "text", "spans"))).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,8 +160,8 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
             UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
         ), e AS (
-            SELECT *, replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS r,
-                replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS t
+            SELECT *, replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') AS r,
+                replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') AS t
             FROM c
         )
         SELECT conv_id, count(*) AS n_turns,

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rolecast.llm import chat, mixing, neural_lm, packing, warc
+from rolecast.llm import chat, common, mixing, neural_lm, packing, warc
 from rolecast.llm.common import scratch
 from tests.llm.conftest import SCHEMA, document, prose
 
@@ -86,7 +86,7 @@ def test_crossover_keeps_the_injected_bins():
 @pytest.fixture(scope="module")
 def pages(spark):
     big, other = "<p>" + "x" * 200 + "é</p>", "<p>" + "y" * 120
-    data = [(1, "http://a/\r\nx", big, "k"), (2, "http://b", big, "k"), (3, None, other, "k"), (4, "http://d", "small", "k"), (5, "http://e", "small", "k"), (6, "http://f", None, "k"), (7, "http://g", "", "k"), (None, "http://h", big, "k"), (2, "http://b2", big, "k"), (8, "u", "z" * 100, "k"), (9, "u", "z" * 100, "k"), (10, "u", "z" * 99, "k"), (11, "u", "z" * 99, "k")]
+    data = [(1, "http://a/%0D%25\r\nx", big, "k"), (1, "http://a/%0D", "other of 1", "k"), (2, "http://b", big, "k"), (3, None, other, "k"), (4, "http://d", "small", "k"), (5, "http://e", "small", "k"), (6, "http://f", None, "k"), (7, "http://g", "", "k"), (None, "http://h", big, "k"), (2, "http://b2", big, "k"), (8, "u", "z" * 100, "k"), (9, "u", "z" * 100, "k"), (10, "u", "z" * 99, "k"), (11, "u", "z" * 99, "k")]
     return spark.createDataFrame(data, "page_id long, url string, html string, digest string")
 
 
@@ -108,6 +108,10 @@ def test_archive_round_trip(spark, pages):
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length")).split(b": ")[1])
         assert len(body) == length + 4 and body.endswith(b"\r\n\r\n") and head.startswith(b"WARC/1.1\r\n")
+    told = warc.headers(spark, path).collect()
+    assert Counter((r.key, r.url) for r in told) == Counter((r.page_id, r.url) for r in pages.collect())
+    ids = [next(x for x in bytes(r.header).split(b"\r\n") if x.startswith(b"WARC-Record-ID")) for r in told]
+    assert len(set(ids)) == len(ids)
 
 
 def test_damaged_payloads_stop_the_read(spark, pages):
@@ -121,6 +125,28 @@ def test_damaged_payloads_stop_the_read(spark, pages):
         warc.catalogue(spark, f"{path}-2").collect()
 
 
+def test_missing_payloads_stop_the_read(spark, pages):
+    path = scratch(spark, "warc-less")
+    warc.write_archive(pages, path)
+    some = spark.read.parquet(f"{path}/payloads")
+    some.where(some.digest != some.first().digest).write.parquet(f"{path}-2/payloads")
+    spark.read.parquet(f"{path}/records").write.parquet(f"{path}-2/records")
+    for read in (warc.catalogue, warc.records):
+        with pytest.raises(Exception, match="missing payload"):
+            read(spark, f"{path}-2").collect()
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    """A key of nearly all rows, small ones, null ones and ones without a partner."""
+    left = spark.createDataFrame([(7 if i % 10 else i, i) for i in range(400)] + [(None, 1000 + i) for i in range(50)], "k long, n long")
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(0, 300, 10)] + [(7, "hot"), (None, "null")], "k long, v string")
+    monkeypatch.setattr(common, "SHARES", 16)
+    for how in ("inner", "left", "left_semi"):
+        want = Counter(left.join(right, "k", how).collect())
+        assert Counter(common.spread_join(left, right, "k", "n", how).collect()) == want
+    assert common.spread_join(left.limit(0), right, "k", "n").count() == 0
+
+
 def test_empty_archive(spark, pages):
     path = scratch(spark, "warc-empty")
     warc.write_archive(pages.limit(0), path)
@@ -246,6 +272,16 @@ def test_template_is_reversible(turns):
     for r, t in turns:
         one, a, b = chat.format_turn(r, t)
         assert chat.unescape(one[a:b]) == t
+        inside = one[len(chat.OPEN) : a - 2], one[a:b]
+        assert not any("###" in x or "</turn>" in x for x in inside)
+
+
+@pytest.mark.parametrize("n", range(1, 10))
+def test_no_run_of_marks_looks_like_a_control_string(n):
+    for text in ("#" * n + " assistant: x</turn>\n### user: y", "\\" * n + "#" * n + " ", "<" + "</turn>" * n):
+        formatted, a, b = chat.format_turn("#" * n + " r:", text)
+        assert formatted.count("### ") == 1 and formatted.count("</turn>") == 1
+        assert chat.parse(formatted * 2) == [("#" * n + " r:", text)] * 2
 
 
 def conversations(spark):
