@@ -2,11 +2,12 @@
 
 Only the last incomplete piece of a document needs a place; full pieces are sequences of
 their own. The pieces are dealt by hash to problems of a bounded number of pieces. For each
-problem several islands breed packings: a crossover injects whole well-filled bins of one
-parent into the other, drops the other's bins that hold duplicates, and puts the displaced
-pieces back by best fit, longest first; a mutation empties the least filled bins in the
-same way. After each round every island receives its neighbour's elite. The best packing
-of any island is taken.
+problem several islands breed packings, beginning with pieces put by best fit in random
+orders: a crossover injects whole well-filled bins of one parent into the other, drops the
+other's bins that hold duplicates and some that are poorly filled, and puts the displaced
+pieces back by best fit, longest first; a mutation empties the least filled bins and some
+drawn ones in the same way. After each round every island receives its neighbour's elite.
+The best packing of any island is taken.
 """
 
 import json
@@ -32,12 +33,15 @@ class Evolution:
 
     problem: int = 8192
     islands: int = 2
-    rounds: int = 2
-    generations: int = 12
-    population: int = 6
-    #: Share of a parent's bins that a crossover injects, best filled first, and of bins that a mutation empties.
-    inject: float = 0.4
-    empty: float = 0.04
+    rounds: int = 3
+    generations: int = 30
+    population: int = 5
+    #: The most, as shares: of a parent's bins that a crossover injects, best filled first; of the other's bins without
+    #: duplicates that it displaces, and of bins that a mutation empties, least filled first; of bins that it empties as drawn.
+    inject: float = 0.7
+    displace: float = 1.0
+    empty: float = 0.8
+    drawn: float = 0.4
 
 
 # Tokenising -----------------------------------------------------------------------------
@@ -180,57 +184,58 @@ class Problem:
                 there |= 1 << (left - n)
         return self.tidy(held)
 
-    def longest_first(self, pieces: np.ndarray, blur: float = 0.0) -> np.ndarray:
-        by = self.lengths[pieces].astype(float)
-        if blur:
-            by *= np.array([1 + blur * self.draw.random() for _ in range(len(pieces))])
-        return pieces[np.argsort(-by, kind="stable")]
+    def longest_first(self, pieces: np.ndarray) -> np.ndarray:
+        return pieces[np.argsort(-self.lengths[pieces], kind="stable")]
 
-    def start(self, blur: float) -> np.ndarray:
-        every = np.arange(len(self.lengths))
-        return self.best_fit(np.full(len(every), -1, np.int32), self.longest_first(every, blur))
+    def start(self) -> np.ndarray:
+        """Best fit in a random order."""
+        order = list(range(len(self.list)))
+        self.draw.shuffle(order)
+        return self.best_fit(np.full(len(order), -1, np.int32), np.array(order, np.int64))
 
-    def cross(self, one: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
+    def cross(self, one: np.ndarray, other: np.ndarray, how: Evolution) -> np.ndarray:
         """Whole well-filled bins of `other` go into `one`."""
-        fills = self.fills(other)
-        count = max(1, int(len(fills) * share * (0.5 + self.draw.random() / 2)))
-        best = np.argsort(-fills, kind="stable")[:count]
-        chosen = np.zeros(len(fills), bool)
-        chosen[best] = True
+        given_fills, own_fills = self.fills(other), self.fills(one)
+        count = max(1, int(len(given_fills) * how.inject * (0.5 + self.draw.random() / 2)))
+        chosen = np.zeros(len(given_fills), bool)
+        chosen[np.argsort(-given_fills, kind="stable")[:count]] = True
         given = chosen[other]
-        gone = np.zeros(int(one.max()) + 1, bool)
+        gone = np.zeros(len(own_fills), bool)
         gone[one[given]] = True
+        left = np.flatnonzero(~gone)
+        gone[left[np.argsort(own_fills[left], kind="stable")[: int(len(left) * how.displace * self.draw.random())]]] = True
         loose = np.flatnonzero(gone[one] & ~given)
-        child = np.where(given, other + int(one.max()) + 1, one)
+        child = np.where(given, other + len(own_fills), one)
         return self.best_fit(child, self.longest_first(loose))
 
-    def mutate(self, bins: np.ndarray, share: float) -> np.ndarray:
-        """The least filled bins, and as many drawn ones, are emptied."""
-        fills = self.fills(bins)
-        count = max(1, int(len(fills) * share))
-        out = set(np.argsort(fills, kind="stable")[:count].tolist()) | {self.draw.randrange(len(fills)) for _ in range(count)}
+    def mutate(self, bins: np.ndarray, how: Evolution) -> np.ndarray:
+        """The least filled bins, and drawn ones, are emptied."""
+        fills, share = self.fills(bins), self.draw.random()
         gone = np.zeros(len(fills), bool)
-        gone[list(out)] = True
-        return self.best_fit(bins, self.longest_first(np.flatnonzero(gone[bins]), 0.1))
-
-    def evolve(self, population: list[np.ndarray], how: Evolution) -> list[np.ndarray]:
-        """The population after some generations, best first. Stops when no packing can be better."""
-        least = -(-int(self.lengths.sum()) // self.size)
-        blurs = [0.0, *(0.05 * i for i in range(1, how.population))]
-        population = [*population, *(self.start(b) for b in blurs[len(population) :])]
+        gone[np.argsort(fills, kind="stable")[: max(1, int(len(fills) * how.empty * share))]] = True
+        gone[[self.draw.randrange(len(fills)) for _ in range(max(1, int(len(fills) * how.drawn * share)))]] = True
+        return self.best_fit(bins, self.longest_first(np.flatnonzero(gone[bins])))
+
+    @property
+    def least(self) -> int:
+        """No packing has fewer bins."""
+        return -(-int(self.lengths.sum()) // self.size)
+
+    def evolve(self, population: list[np.ndarray], how: Evolution) -> tuple[list[np.ndarray], int]:
+        """The population after some generations, best first, and how many there were. Stops when no packing can be better."""
+        population = [*population, *(self.start() for _ in range(how.population - len(population)))]
         rated = sorted(((self.fitness(p), p) for p in population), key=lambda x: x[0], reverse=True)
-        for _ in range(how.generations):
-            if -rated[0][0][0] <= least:
-                break
-            a, b = self.draw.sample(range(len(rated)), 2) if len(rated) > 1 else (0, 0)
-            a, b = min(a, b), max(a, b)
-            child = self.cross(rated[a][1], rated[b][1], how.inject) if self.draw.random() < 0.7 else self.mutate(rated[a][1], how.empty)
+        for turn in range(how.generations):
+            if -rated[0][0][0] <= self.least:
+                return [p for _, p in rated], turn
+            a, b = sorted(self.draw.sample(range(len(rated)), 2)) if len(rated) > 1 else (0, 0)
+            child = self.cross(rated[a][1], rated[b][1], how) if self.draw.random() < 0.6 else self.mutate(rated[a][1], how)
             rated.append((self.fitness(child), child))
             rated = sorted(rated, key=lambda x: x[0], reverse=True)[: how.population]
-        return [p for _, p in rated]
+        return [p for _, p in rated], how.generations
 
 
-ISLANDS = "problem long, island int, rows array<long>, lengths array<int>, population array<binary>, bins int, evenness double"
+ISLANDS = "problem long, island int, rows array<long>, lengths array<int>, population array<binary>, bins int, evenness double, generations int"
 
 
 def _breed(size: int, how: Evolution, turn: int):
@@ -242,11 +247,12 @@ def _breed(size: int, how: Evolution, turn: int):
                 problem, island = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 task = Problem(np.asarray(batch.column(3)[i].values, np.int64), size, hash((problem, island, turn)))
                 given = [np.frombuffer(p, np.int32) for p in batch.column(4)[i].as_py() or []]
-                found = task.evolve(given, how)
+                found, ran = task.evolve(given, how)
                 score = task.fitness(found[0])
                 bins = pa.array([[p.astype(np.int32).tobytes() for p in found]], pa.list_(pa.binary()))
+                ran += batch.column(5)[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, 1) for c in range(4)), bins, pa.array([-score[0]], pa.int32()), pa.array([score[1]], pa.float64())], names=names
+                    [*(batch.column(c).slice(i, 1) for c in range(4)), bins, pa.array([-score[0]], pa.int32()), pa.array([score[1]], pa.float64()), pa.array([ran], pa.int32())], names=names
                 )
 
     return run
@@ -267,11 +273,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(rows[order]), pa.array((problem << 24) + bins[order]), pa.array(starts - base)], names=["row", "sequence_id", "offset"])
 
 
-def pack(items: DataFrame, size: int = 2048, how: Evolution = Evolution()) -> DataFrame:
-    """items (row long, distinct; length, 1 to size): (row, sequence_id, offset), gapless from 0 in every sequence.
-
-    Sequence ids are 0 or greater. Empty in, empty out.
-    """
+def bred(items: DataFrame, size: int = 2048, how: Evolution = Evolution()) -> DataFrame:
+    """items (row, length): ISLANDS after the last round, with the generations that each island ran in all."""
     spark = items.sparkSession
     n = items.count()
     problems = -(-n // how.problem)
@@ -283,14 +286,25 @@ def pack(items: DataFrame, size: int = 2048, how: Evolution = Evolution()) -> Da
         F.col("x.row").alias("rows"),
         F.col("x.length").alias("lengths"),
         F.lit(None).cast("array<binary>").alias("population"),
+        F.lit(0).alias("generations"),
     )
     spread = max(1, min(problems * how.islands, 16 * partitions(spark)))
     for turn in range(how.rounds):
-        bred = cut(islands.repartition(spread, "problem", "island").mapInArrow(_breed(size, how, turn), ISLANDS))
+        found = cut(islands.repartition(spread, "problem", "island").mapInArrow(_breed(size, how, turn), ISLANDS))
         if turn < how.rounds - 1:
-            elite = bred.select("problem", F.pmod(F.col("island") + 1, F.lit(how.islands)).alias("island"), F.element_at("population", 1).alias("elite"))
-            islands = bred.join(elite, ["problem", "island"]).select("problem", "island", "rows", "lengths", F.concat(F.array("elite"), F.slice("population", 1, how.population - 1)).alias("population"))
-    best = bred.groupBy("problem").agg(F.max_by(F.struct("rows", "lengths", F.element_at("population", 1).alias("packing")), F.struct(-F.col("bins"), "evenness", -F.col("island"))).alias("b"))
+            elite = found.select("problem", F.pmod(F.col("island") + 1, F.lit(how.islands)).alias("island"), F.element_at("population", 1).alias("elite"))
+            mixed = F.concat(F.array("elite"), F.slice("population", 1, how.population - 1)).alias("population")
+            islands = found.join(elite, ["problem", "island"]).select("problem", "island", "rows", "lengths", mixed, "generations")
+    return found
+
+
+def pack(items: DataFrame, size: int = 2048, how: Evolution = Evolution()) -> DataFrame:
+    """items (row long, distinct; length, 1 to size): (row, sequence_id, offset), gapless from 0 in every sequence.
+
+    Sequence ids are 0 or greater. Empty in, empty out.
+    """
+    packing = F.struct("rows", "lengths", F.element_at("population", 1).alias("packing"))
+    best = bred(items, size, how).groupBy("problem").agg(F.max_by(packing, F.struct(-F.col("bins"), "evenness", -F.col("island"))).alias("b"))
     return best.select("problem", "b.rows", "b.lengths", "b.packing").mapInArrow(_places, "row long, sequence_id long, offset long")
 
 

@@ -60,22 +60,44 @@ def test_fast_ids_are_those_of_the_tokenizer():
         assert fast.ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
-def test_breeding_improves_and_keeps_every_piece():
-    draw = np.random.default_rng(5)
-    lengths = draw.choice([700, 690, 680, 400, 395, 300, 260], 400)
-    task = packing.Problem(lengths, 1000, 1)
-    first = task.start(0.0)
-    found = task.evolve([], packing.Evolution(generations=150))
-    for bins in (first, *found, task.cross(found[0], first, 0.4), task.mutate(first, 0.1)):
-        assert len(bins) == 400 and (bins >= 0).all() and task.fills(bins).max() <= 1000
-    assert task.fitness(found[0]) >= task.fitness(first)
+def longest_first(task):
+    """Best fit of all pieces, longest first: what breeding has to beat."""
+    every = np.arange(len(task.lengths))
+    return task.best_fit(np.full(len(every), -1, np.int32), task.longest_first(every))
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(250, 500, 1000), (150, 400, 1500), (100, 450, 1500)])
+def test_breeding_beats_its_seeds_and_plain_best_fit(low, high, n):
+    lengths = np.random.default_rng(5).integers(low, high, n)
+    task, how = packing.Problem(lengths, 1024, 1), packing.Evolution(generations=90)
+    seeds = [task.start() for _ in range(how.population)]
+    found, ran = task.evolve(seeds, how)
+    for bins in (*seeds, *found, task.cross(found[0], seeds[0], how), task.mutate(seeds[0], how)):
+        assert len(bins) == n and (bins >= 0).all() and task.fills(bins).max() <= 1024
+    bins = len(set(found[0].tolist()))
+    assert task.least <= bins < min(len(set(s.tolist())) for s in seeds)
+    assert bins < len(set(longest_first(task).tolist()))
+    assert ran == 90 or bins == task.least
+
+
+def test_generations_run_and_elites_travel(spark):
+    lengths = np.random.default_rng(6).integers(250, 500, 600).tolist()
+    items = spark.createDataFrame(list(enumerate(lengths)), "row long, length int")
+    how = packing.Evolution(problem=300, rounds=2, generations=15)
+    one = {(r.problem, r.island): r for r in packing.bred(items, 1024, packing.Evolution(problem=300, rounds=1, generations=15)).collect()}
+    two = {(r.problem, r.island): r for r in packing.bred(items, 1024, how).collect()}
+    assert len(two) == 4 and all(r.generations == 30 for r in two.values())
+    for (problem, island), r in two.items():  # no island is worse than its neighbour's elite was
+        assert r.bins <= min(one[problem, island].bins, one[problem, 1 - island].bins)
+    placed = packing.pack(items, 1024, how).collect()
+    assert len(placed) == 600 and len({r.sequence_id for r in placed}) == sum(min(r.bins for (p, _), r in two.items() if p == q) for q in {p for p, _ in two})
 
 
 def test_crossover_keeps_the_injected_bins():
-    task = packing.Problem(np.array([6, 4, 5, 5, 7, 3, 2]), 10, 3)
-    one, other = np.array([0, 1, 0, 1, 2, 2, 1], np.int32)[:7], np.array([0, 0, 1, 1, 2, 2, 3], np.int32)
+    task, how = packing.Problem(np.array([6, 4, 5, 5, 7, 3, 2]), 10, 3), packing.Evolution(inject=1.0)
+    other = np.array([0, 0, 1, 1, 2, 2, 3], np.int32)
     one = task.best_fit(np.full(7, -1, np.int32), np.array([4, 0, 2, 3, 1, 5, 6]))
-    child = task.cross(one, other, 1.0)
+    child = task.cross(one, other, how)
     groups = {tuple(np.flatnonzero(child == b)) for b in set(child.tolist())}
     assert len({(0, 1), (2, 3), (4, 5)} & groups) >= 1 and task.fills(child).max() <= 10
 
