@@ -5,7 +5,8 @@ equal length. The schedule's slots are the van der Corput points in base 2, mapp
 the cumulative weights to sources; the r-th slot of a source takes its r-th block, and
 starts again from the first when the blocks are used up. A source's last slot takes only
 what its target still lacks, so targets are met to the word. Nothing is ordered or ranked
-by source alone: prefix sums run over chunks of a bounded number of rows.
+by source alone: prefix sums run over chunks of a bounded number of rows, and over their sums
+in as many levels as it takes.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,8 @@ from rolecast.llm.common import cut, prepare, words
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 2048
-#: Rows that one task puts in order at a time.
-CHUNK_ROWS = 1024
+#: Rows, on average, that are put in order together, and bits of the number of chunks, or of sums over chunks, that are added up together.
+CHUNK_ROWS, LEVEL_BITS = 128, 8
 #: Points are multiples of 2^-POINT_BITS; cells of the unit interval through which they find their source.
 POINT_BITS, CELLS = 40, 4096
 SEED = 6
@@ -45,11 +46,25 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST, weight
     return placed.withColumn("target", goal).drop("__cap", "__ratio", "__level")
 
 
-def _prefix(rows: DataFrame, group: str, chunk: str, value: str, name: str, order: list[str]) -> DataFrame:
-    """rows with name: the sum of value over earlier rows of the group, by chunk and then by order; and __rn within the chunk."""
-    sums = rows.groupBy(group, chunk).agg(F.sum(value).alias("__sum"))
-    before = F.sum("__sum").over(Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(group, chunk, F.coalesce(before, F.lit(0)).alias("__start"))
+def _starts(sums: DataFrame, group: str, chunk: str, value: str, bits: int) -> DataFrame:
+    """sums (group, chunk, value), chunk below 2^bits: (group, chunk, __start), the sum of value over the group's earlier chunks.
+
+    Chunks meet in windows of at most 2^LEVEL_BITS; windows are chunks of a level above.
+    """
+    up = f"__up{bits}"
+    upto = F.sum(value).over(Window.partitionBy(group, up).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    placed = sums.withColumn(up, F.shiftright(chunk, LEVEL_BITS))
+    own = placed.withColumn("__own", F.coalesce(upto, F.lit(0)))
+    if bits <= LEVEL_BITS:
+        return own.select(group, chunk, F.col("__own").alias("__start"))
+    above = placed.groupBy(group, up).agg(F.sum(value).alias(value))
+    starts = _starts(above, group, up, value, bits - LEVEL_BITS)
+    return own.join(starts, [group, up]).select(group, chunk, (F.col("__start") + F.col("__own")).alias("__start"))
+
+
+def _prefix(rows: DataFrame, group: str, chunk: str, value: str, name: str, order: list[str], bits: int) -> DataFrame:
+    """rows with name: the sum of value over earlier rows of the group, by chunk (below 2^bits) and then by order; and __rn within the chunk."""
+    starts = _starts(rows.groupBy(group, chunk).agg(F.sum(value).alias("__sum")), group, chunk, "__sum", bits)
     within = Window.partitionBy(group, chunk).orderBy(*order)
     own = F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(starts, [group, chunk]).withColumn(name, F.col("__start") + own).withColumn("__rn", F.row_number().over(within)).drop("__start")
@@ -80,7 +95,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1).cast("long")))))
     points = spark.range(n).select(F.col("id").alias("slot"), point(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     drawn = points.join(cells, "cell").where("u >= lo and u < hi").select("slot", "sid", F.lit(1).alias("one"), F.expr(f"slot div {CHUNK_ROWS}").alias("part"))
-    ranked = cut(_prefix(drawn, "sid", "part", "one", "rank", ["slot"]).select("slot", "sid", "rank"))
+    ranked = cut(_prefix(drawn, "sid", "part", "one", "rank", ["slot"], int(n // CHUNK_ROWS).bit_length()).select("slot", "sid", "rank"))
     # a source may draw a few points more or fewer than its share: the surplus goes, the lack is added at the end
     had = ranked.groupBy("sid").agg(F.count("*").alias("had"))
     lack = plan.join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
@@ -114,7 +129,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     bits = max(0, (sized.count() // CHUNK_ROWS).bit_length())
     chunk = F.shiftrightunsigned("mark", 64 - bits) if bits else F.lit(0).cast("long")
     known = sized.withColumn("chunk", chunk).join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    streams = _prefix(known, "sid", "chunk", "size", "at", ["mark", "key", "tie"])
+    streams = _prefix(known, "sid", "chunk", "size", "at", ["mark", "key", "tie"], bits)
     span = F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}")))
     parts = streams.withColumn("block", F.explode_outer(span))
     first = F.greatest(F.col("at") - F.col("block") * block, F.lit(0))

@@ -261,6 +261,19 @@ def test_mix_against_brute_force(docs, nothing):
     assert mixing.mix(nothing)[1].count() == 0 and mixing.mix(nothing)[0].count() == 0
 
 
+def test_prefix_sums_in_levels(spark, monkeypatch):
+    """A third of the rows in one group, chunks in several levels of windows."""
+    monkeypatch.setattr(mixing, "LEVEL_BITS", 2)
+    draw = np.random.default_rng(2)
+    given = [(int(g), int(c), i, int(v)) for i, (g, c, v) in enumerate(zip(draw.integers(0, 3, 600) * draw.integers(0, 2, 600), draw.integers(0, 64, 600), draw.integers(0, 9, 600)))]
+    found = mixing._prefix(spark.createDataFrame(given, "g long, c long, i long, v long"), "g", "c", "v", "at", ["i"], 6)
+    so_far, want = Counter(), {}
+    for g, c, i, v in sorted(given):
+        want[i] = so_far[g]
+        so_far[g] += v
+    assert {r.i: r["at"] for r in found.collect()} == want
+
+
 def test_slots_follow_the_weights(spark):
     goals = spark.createDataFrame([(0, 100_000, 50_000.0), (1, 100_000, 20_000.0), (2, 5000, 10_000.0)], "sid int, source_size long, target double")
     found = sorted(rows(mixing.schedule(goals, 100)), key=lambda r: r["slot"])
