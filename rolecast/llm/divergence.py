@@ -53,8 +53,9 @@ class Rules:
     common_words: int = 50
     #: Least share of a language's words for a common word; at most 1 / share words can reach it.
     min_share: float = 0.002
-    #: Languages with a reference of their own, the most frequent first; others take that of all documents.
-    max_languages: int = 256
+    #: Share of the documents that pass the base rules which a language needs for a reference of its own; others take
+    #: that of all documents. At most 1 / share languages can reach it.
+    min_language_share: float = 0.001
 
 
 def class_histogram(text: str) -> np.ndarray:
@@ -155,10 +156,10 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
         .agg(F.sum("value").alias("value"))
     )
     counts = sums.where("kind = 'n'").select("lang", F.col("value").alias("n"))
-    top = [(r.lang, r.n) for r in counts.orderBy(F.desc("n"), "lang").limit(rules.max_languages).collect()]
     total = counts.agg(F.sum("n")).first()[0]
     if not total:
         return {}
+    top = [(r.lang, r.n) for r in counts.where(F.col("n") >= rules.min_language_share * total).collect()]
     keep = {k for k, _ in top}
     whole = sums.where("kind <> 'n'").groupBy("kind", "item").agg(F.sum("value").alias("value")).select(F.lit("").alias("lang"), "kind", "item", "value")
     own = sums.where(F.col("lang").isin([k for k in keep if k]) & (F.col("kind") != "n")) if keep - {""} else sums.limit(0)
@@ -166,9 +167,15 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     share = F.col("value") / docs_of[F.col("lang")]
     rows = own.unionByName(whole).where((F.col("kind") == "c") | (share >= rules.min_share)).select("lang", "kind", "item", share.alias("share")).collect()
     found = {}
-    for key in {r.lang for r in rows}:
-        shapes = {bytes(r.item).decode(): r.share for r in rows if r.lang == key and r.kind == "c"}
-        words = sorted(((r.share, bytes(r.item)) for r in rows if r.lang == key and r.kind == "w"), key=lambda x: (-x[0], x[1]))[: rules.common_words]
+    by_lang: dict[str, tuple[dict[str, float], list[tuple[float, bytes]]]] = {}
+    for r in rows:
+        shapes, words = by_lang.setdefault(r.lang, ({}, []))
+        if r.kind == "c":
+            shapes[bytes(r.item).decode()] = r.share
+        else:
+            words.append((r.share, bytes(r.item)))
+    for key, (shapes, words) in by_lang.items():
+        words = sorted(words, key=lambda x: (-x[0], x[1]))[: rules.common_words]
         shares = np.array([s for s, _ in words] + [max(0.0, 1 - sum(s for s, _ in words))])
         found[key] = Reference(np.array([shapes.get(c, 0.0) for c in CLASSES]), {w: i for i, (_, w) in enumerate(words)}, shares)
     return found

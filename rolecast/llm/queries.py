@@ -112,7 +112,7 @@ def _divergence_sql(rules: divergence.Rules) -> str:
         ), fine AS (
             SELECT rid, unnest(list_distinct([lang, ''])) AS ref, n_words FROM b WHERE NOT base_failed
         ), total AS (
-            SELECT ref, count(*) AS n FROM fine GROUP BY ref
+            SELECT ref, count(*) AS n FROM fine GROUP BY ref HAVING ref = '' OR n >= {rules.min_language_share} * (SELECT count(*) FROM b WHERE NOT base_failed)
         ), shape_ref AS (
             SELECT ref, item, sum(p) / any_value(total.n) AS q FROM fine JOIN shape USING (rid) JOIN total USING (ref) GROUP BY ALL
         ), word_ref AS (
