@@ -11,8 +11,10 @@ pairs. Members of an overfull shard go on to a finer choice of blocks, which is
 
 De-duplication by a similarity asks for far more differing bits than blocks can bear. It
 takes a wider fingerprint of the set of shingles, whose shards are patterns of drawn bits,
-and searches them in the same way; what it finds are candidates, and only texts whose sets
-of shingles are as similar as asked are linked.
+and searches them in the same way; members of an overfull shard are candidates all together.
+Only texts whose sets of shingles are as similar as asked are linked. Groups of candidates
+are held against one another in blocks of a bounded number of members, and members that are
+known to be of one component are not compared again.
 """
 
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolecast.llm.common import cut, partitions, prepare, spread_join, word_bytes
+from rolecast.llm.common import cut, keep, partitions, prepare, spread_join, word_bytes
 from rolecast.llm.components import connected_components
 
 BITS = 64
@@ -272,8 +274,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 WIDE = 4
 #: Share of pairs at the least similarity that some cell brings together, and standard deviations kept beyond their mean difference.
 RECALL, SPREAD = 0.99, 3.0
-#: A hot cell's members are dealt again by so many more bits, in so many ways: fewer than one link in a thousand is lost to it.
-MORE_BITS, MORE_WAYS = 6, 16
+#: Members of a group of candidates whose sets of shingles are held against one another in one task.
+BLOCK_MEMBERS = 512
 
 
 def shingles(text: str | None, shingle: int) -> set[bytes]:
@@ -339,32 +341,51 @@ def link_similar(codes: DataFrame, similarity: float, split_at: int = SPLIT_AT)
     draw = np.random.default_rng(SEED)
     cell = lambda of, m: F.xxhash64(of, *[F.col(w).bitwiseAND(F.lit(x)) for w, x in zip(words, m)])
     cells = codes.select("fp", *words, F.explode(F.array(*[cell(F.lit(i), _drawn(draw, bits)) for i in range(ways)])).alias("cell"))
-    hot = cut(cells.groupBy("cell").count().where(F.col("count") > split_at).select("cell"))
-    if hot.isEmpty():
+    sized = cut(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where(F.col("n") > split_at))
+    if sized.isEmpty():
         return _span(cells, most, words)
-    again = [_drawn(draw, MORE_BITS) for _ in range(MORE_WAYS)]
-    split = cells.join(hot, "cell", "left_semi").select("fp", *words, F.explode(F.array(*[cell(F.xxhash64("cell", F.lit(i)), m) for i, m in enumerate(again)])).alias("cell"))
-    return _span(cells.join(hot, "cell", "left_anti").unionByName(split), most, words)
+    # at most n * ways / split_at cells, each a row
+    together = spread_join(cells.select("cell", "fp"), sized.select("cell", "hub"), "cell", "fp", counts=sized.select("cell", F.col("n").alias("count")))
+    return _span(cells.join(sized, "cell", "left_anti"), most, words).union(together.where("fp <> hub").select("fp", "hub"))
 
 
-def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The first index of each set's component over links of at least this Jaccard similarity, all pairs considered."""
+def similar_roots(sets: list[np.ndarray], similarity: float, known: np.ndarray | None = None, asked: np.ndarray | None = None) -> np.ndarray:
+    """The first index of each set's component over links of at least this Jaccard similarity, all pairs considered.
+
+    known: labels of components known before, whose members are linked without a look;
+    asked: sets of which one must be in a pair for it to be considered.
+    """
+    n = len(sets)
     sizes = np.array([len(s) for s in sets])
     at = np.r_[0, np.cumsum(sizes)]
     values, own = np.unique(np.concatenate(sets), return_inverse=True)
-    item, owner = own, np.repeat(np.arange(len(sets)), sizes)
-    root, held = np.full(len(sets), -1), np.zeros(len(values), bool)
-    for first in range(len(sets)):
+    item, owner = own, np.repeat(np.arange(n), sizes)
+    kin: dict[int, list[int]] = {}
+    for i, label in enumerate([] if known is None else known.tolist()):
+        kin.setdefault(label, []).append(i)
+    root, held = np.full(n, -1), np.zeros(len(values), bool)
+    for first in range(n):
         if root[first] >= 0:
             continue
         root[first], queue = first, [first]
         while queue:
             one = queue.pop()
+            if known is not None and (same := kin.pop(int(known[one]), None)):
+                more = [i for i in same if root[i] < 0]
+                root[more] = first
+                queue += more
+                left = root[owner] < 0
+                item, owner = item[left], owner[left]
+            if not len(owner):
+                continue
             mine = own[at[one] : at[one + 1]]
             held[mine] = True
-            shared = np.bincount(owner[held[item]], minlength=len(sets))
+            shared = np.bincount(owner[held[item]], minlength=n)
             held[mine] = False
-            near = np.flatnonzero((root < 0) & (shared / np.maximum(1, sizes + sizes[one] - shared) >= similarity))
+            near = (root < 0) & (shared / np.maximum(1, sizes + sizes[one] - shared) >= similarity)
+            if asked is not None and not asked[one]:
+                near &= asked
+            near = np.flatnonzero(near)
             if len(near):
                 root[near] = first
                 queue += near.tolist()
@@ -373,42 +394,112 @@ def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
-def _gram_sets(shingle: int):
-    """Rows (candidate, fp, text): the same with the hashes of the text's shingles in place of it."""
+GRAMS = "candidate long, members long, fp long, band int, grams binary"
+
+
+def _gram_sets(shingle: int, similarity: float):
+    """Rows (candidate, members, fp, text): the text's band and the hashes of its shingles in place of it.
+
+    Bands are sizes of sets by powers of 1 / similarity, a little wide: sets as similar as that are of one band or of two that adjoin.
+    """
+    width = -1.000001 * np.log(similarity) if similarity < 1 else 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array([xxhash.xxh3_64_intdigest(g, SEED) for g in shingles(t, shingle)], np.uint64).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["candidate", "fp", "grams"])
+            found = [np.array([xxhash.xxh3_64_intdigest(g, SEED) for g in shingles(t, shingle)], np.uint64) for t in batch.column(3).to_pylist()]
+            bands = [int(np.log(max(1, len(f))) / width) for f in found]
+            columns = [*(batch.column(i) for i in range(3)), pa.array(bands, pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in GRAMS.split(", ")])
 
     return run
 
 
 def _verify(similarity: float):
-    """Rows (candidate, fp, grams), sorted by candidate: the root of each fp over links of at least this similarity."""
+    """Rows (block, fp, grams, known, asked), sorted by block: edges between each fp and the first of its component in the block."""
 
-    def out(fps: list[int], sets: list[bytes]) -> pa.RecordBatch:
-        one = dict(zip(fps, sets))  # repeated rows have the same set
-        fp = np.array(list(one), np.int64)
-        root = similar_roots([np.frombuffer(g, np.uint64) for g in one.values()], similarity)
-        return pa.record_batch([pa.array(fp), pa.array(fp[root])], names=["fp", "root"])
+    def out(held: dict[int, tuple[bytes, int, bool]]) -> Iterator[pa.RecordBatch]:
+        fp = np.array(list(held), np.int64)
+        grams, known, asked = zip(*held.values())
+        root = similar_roots([np.frombuffer(g, np.uint64) for g in grams], similarity, np.array(known, np.int64), np.array(asked, bool))
+        moved = np.flatnonzero(fp[root] != fp)
+        if len(moved):
+            yield pa.record_batch([pa.array(fp[moved]), pa.array(fp[root[moved]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fps, sets = None, [], []
+        now, held = None, {}
         for batch in batches:
-            for candidate, fp, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                if candidate != now and fps:
-                    yield out(fps, sets)
-                    fps, sets = [], []
-                now = candidate
-                fps.append(fp)
-                sets.append(grams)
-        if fps:
-            yield out(fps, sets)
+            for block, fp, grams, known, asked in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now and held:
+                    yield from out(held)
+                    held = {}
+                now = block
+                if fp not in held or asked:  # repeated rows have the same set
+                    held[fp] = grams, known, asked
+        if held:
+            yield from out(held)
 
     return run
 
 
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows (block, fp, grams, known, asked): the edges (a, b) that span the links within each block."""
+    dealt = rows.select("block", "fp", "grams", "known", "asked").repartition(partitions(rows.sparkSession), "block")
+    return cut(dealt.sortWithinPartitions("block").mapInArrow(_verify(similarity), "a long, b long"))
+
+
+def similar_links(texts: DataFrame, similarity: float, shingle: int = 5, members: int = BLOCK_MEMBERS) -> DataFrame:
+    """texts (candidate, members, fp, text): edges (a, b) whose components are those of all links within a candidate of so many members.
+
+    A group of at most `members` is one block. A larger one is dealt into blocks by band and
+    hash, which first link what they hold, and then the first members of what they found. Most
+    of a group of near copies is one component by then; each member outside the group's largest
+    one then meets every block of its own band and of the bands beside it. So every pair of sets
+    that may be similar is compared, unless both are known to be of one component.
+    """
+    sets = lambda rows: rows.mapInArrow(_gram_sets(shingle, similarity), GRAMS)
+    plain = lambda rows: rows.withColumn("known", F.col("fp")).withColumn("asked", F.lit(True))
+    lane_of = lambda band: F.xxhash64("candidate", band)
+    block = lambda *of: F.xxhash64("candidate", *of).alias("block")
+    parts = lambda n: F.ceil(n / F.lit(members)).cast("int")
+    three = lambda band: F.explode(F.array(F.col(band) - 1, F.col(band), F.col(band) + 1))
+
+    found = _compared(plain(sets(texts.where(F.col("members") <= members)).withColumn("block", F.col("candidate"))), similarity)
+    big = keep(sets(texts.where(F.col("members") > members)).withColumn("lane", lane_of("band")), "near-sets")
+    lanes = cut(big.groupBy("lane", "candidate", "band").agg(F.count("*").alias("count")).withColumn("ways", parts(F.col("count"))))
+    if lanes.isEmpty():
+        return found
+    counts = lanes.select("lane", "count")
+    big = spread_join(big, lanes.select("lane", "ways"), "lane", "fp", counts=counts)
+    big = keep(big.withColumn("place", F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")), "near-groups")
+    inner = _compared(plain(big.withColumn("block", block("band", "place"))), similarity)
+    firsts = big.join(inner.select(F.col("a").alias("fp")), "fp", "left_anti")
+    heads = cut(firsts.groupBy("lane").agg(F.count("*").alias("count")))
+    firsts = spread_join(firsts, heads.select("lane", parts(F.col("count")).alias("__n")), "lane", "fp", counts=heads)
+    outer = _compared(plain(firsts.withColumn("block", block("band", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("__n"))))), similarity)
+    roots = connected_components(inner.union(outer)).select(F.col("node").alias("fp"), "root")
+    big = keep(big.join(roots, "fp", "left").withColumn("known", F.coalesce("root", "fp")).drop("root"), "near-known")
+
+    # the largest component of each group, counted before the shuffle; the members of all others are asked about
+    sizes = big.groupBy("candidate", "known").agg(F.count("*").alias("n")).groupBy("candidate")
+    most = cut(sizes.agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.sum("n").alias("count")))
+    loose = spread_join(big, most.drop("count"), "candidate", "fp", counts=most.select("candidate", "count")).where("known <> largest")
+    loose = keep(loose.select("candidate", "lane", "fp", "band", "grams", "known"), "near-loose")
+    asking = cut(loose.groupBy("lane", "candidate", "band").agg(F.count("*").alias("count")).withColumn("parts", parts(F.col("count"))))
+    if asking.isEmpty():
+        return found.union(inner).union(outer)
+    # a loose member goes to every block of three bands
+    visits = spread_join(loose, asking.select("lane", "parts"), "lane", "fp", counts=asking.select("lane", "count"))
+    visits = visits.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts")).cast("int")).select("candidate", "fp", "band", "grams", "known", "part", three("band").alias("to"))
+    visits = spread_join(visits.withColumn("lane", lane_of("to")), lanes.select("lane", "ways"), "lane", "fp").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    visits = visits.select(block("band", "part", "to", "place"), "fp", "grams", "known", F.lit(True).alias("asked"))
+    # and the members of a block to the loose ones of its three bands: three rows at most for a lane
+    hosts = asking.select("candidate", F.col("band").alias("from"), "parts", three("band").alias("band"))
+    hosts = hosts.groupBy("candidate", "band").agg(F.collect_list(F.struct("from", "parts")).alias("askers")).select(lane_of("band").alias("lane"), "askers")
+    hosted = spread_join(big, hosts, "lane", "fp", counts=counts).withColumn("q", F.explode("askers")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("q.parts") - 1)))
+    hosted = hosted.select(block("q.from", "part", "band", "place"), "fp", "grams", "known", F.lit(False).alias("asked"))
+    return found.union(inner).union(outer).union(_compared(visits.unionByName(hosted), similarity))
+
+
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keeps one row of each group of texts linked by a Jaccard similarity of at least `similarity`.
 
@@ -424,13 +515,18 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tie"))
     codes = cut(prints.groupBy("fp").agg(*[F.first(w).alias(w) for w in words], best.alias("b")))
     near = connected_components(link_similar(codes, similarity)).withColumnRenamed("node", "fp").withColumnRenamed("root", "candidate")
-    asked = codes.join(near, "fp").select("candidate", "fp", F.col("b.key").alias("__k"), F.col("b.tie").alias("__t"))
-    texts = seen.join(asked, (F.col("tie") == F.col("__t")) & F.col("key").eqNullSafe(F.col("__k"))).select("candidate", "fp", "text")
-    sets = texts.mapInArrow(_gram_sets(shingle), "candidate long, fp long, grams binary").repartition(partitions(docs.sparkSession), "candidate")
-    roots = sets.sortWithinPartitions("candidate").mapInArrow(_verify(similarity), "fp long, root long")
+    members = cut(near.groupBy("candidate").count())
+    near = spread_join(near, members.withColumnRenamed("count", "members"), "candidate", "fp", counts=members)
+    asked = codes.join(near, "fp").select("candidate", "members", "fp", F.col("b.key").alias("__k"), F.col("b.tie").alias("__t"))
+    texts = seen.join(asked, (F.col("tie") == F.col("__t")) & F.col("key").eqNullSafe(F.col("__k"))).select("candidate", "members", "fp", "text")
+    roots = connected_components(similar_links(keep(texts, "near-texts"), similarity, shingle)).withColumnRenamed("node", "fp")
     placed = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = placed.groupBy("root").agg(best.alias("b")).select(F.col("b.key").alias("__k"), F.col("b.tie").alias("__t"))
-    marked = docs.withColumn(tie, F.xxhash64(text))
-    chosen = marked.join(kept, (F.col(tie) == F.col("__t")) & F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    kept = cut(placed.groupBy("root").agg(best.alias("b")).select(F.col("b.key").alias("__k"), F.col("b.tie").alias("__t")))
+    # rows that occur once need no ranking, so their texts are not dealt by it
+    twice = prints.groupBy(F.col("key").alias("__rk"), F.col("tie").alias("__rt")).count().where("count > 1")
+    same = (F.col("__t") == F.col("__rt")) & F.col("__k").eqNullSafe(F.col("__rk"))
+    marked, mine = docs.withColumn(tie, F.xxhash64(text)), (F.col(tie) == F.col("__t")) & F.col(key).eqNullSafe(F.col("__k"))
+    once = marked.join(kept.join(twice, same, "left_anti"), mine, "left_semi")
     row = F.row_number().over(Window.partitionBy(tie, key).orderBy(F.lit(0)))
-    return chosen.withColumn("__row", row).where("__row = 1").drop("__row", tie)
+    again = marked.join(cut(kept.join(twice, same, "left_semi")), mine, "left_semi").withColumn("__row", row).where("__row = 1").drop("__row")
+    return once.unionByName(again).drop(tie)

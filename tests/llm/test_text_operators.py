@@ -365,6 +365,52 @@ def brute_kept(given, least=0.8):
     return {min(g) for g in groups.values()}
 
 
+def test_blocks_of_a_large_group_against_brute_force(spark):
+    """One candidate with near copies, chains, sets of other sizes and strangers, in blocks of few members."""
+    draw = np.random.default_rng(9)
+    base = draw.integers(1, 1 << 60, 60).tolist()
+    sets = [set(base[: 60 - draw.integers(0, 9)]) | set(draw.integers(1, 1 << 60, draw.integers(0, 5)).tolist()) for _ in range(60)]
+    for _ in range(4):  # chains whose ends are not alike
+        chain = draw.integers(1, 1 << 60, 40 + int(draw.integers(0, 60))).tolist()
+        for _ in range(10):
+            sets.append(set(chain))
+            chain = chain[len(chain) // 12 :] + draw.integers(1, 1 << 60, len(chain) // 12 + int(draw.integers(0, 3))).tolist()
+    sets += [set(draw.integers(1, 1 << 60, int(n)).tolist()) for n in draw.integers(1, 90, 30)]
+    rows_of = [(1 if i % 7 else 2, i, " ".join(f"{x:x}" for x in g)) for i, g in enumerate(sets)]
+    many = Counter(r[0] for r in rows_of)
+    frame = spark.createDataFrame([(c, many[c], i, t) for c, i, t in rows_of * 2], "candidate long, members long, fp long, text string")
+    from rolecast.llm.components import connected_components
+
+    parent = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets[:i]):
+            if rows_of[i][0] == rows_of[k][0] and len(a & b) >= 0.8 * len(a | b):
+                parent = [min(parent[i], parent[k]) if r in (parent[i], parent[k]) else r for r in parent]
+    for members in (8, 40, 1000):
+        found = {r.node: r.root for r in connected_components(simhash.similar_links(frame, 0.8, 1, members)).collect()}
+        assert [found.get(i, i) for i in range(len(sets))] == parent
+
+
+def test_hot_cells_lose_no_link(spark):
+    """All members of a hot cell are candidates together."""
+    draw = np.random.default_rng(12)
+    base = [f"w{x}" for x in draw.integers(0, 1 << 40, 300)]
+    given = []
+    for i in range(80):
+        words = list(base)
+        for at in draw.integers(0, 300, 4):
+            words[at] = f"v{i}"
+        given.append((i, " ".join(words)))
+    given += [(100 + i, " ".join(f"x{x}" for x in draw.integers(0, 1 << 40, 50))) for i in range(20)]
+    frame = simhash.with_wide(spark.createDataFrame(given, "doc_id long, text string"), "text", 5).select("fp", "c0", "c1", "c2", "c3")
+    from rolecast.llm.components import connected_components
+
+    fps = {r.doc_id: r.fp for r in simhash.with_wide(spark.createDataFrame(given, "doc_id long, text string"), "text", 5).collect()}
+    plain, hot = ({r.node: r.root for r in connected_components(simhash.link_similar(frame, 0.8, n)).collect()} for n in (4096, 10))
+    together = lambda m: {frozenset(k for k in range(80) if m.get(fps[k], fps[k]) == r) for r in {m.get(fps[k], fps[k]) for k in range(80)}}
+    assert all(any(small <= big for big in together(hot)) for small in together(plain)) and len(together(hot)) == 1
+
+
 def test_dedup_against_exact_similarity(spark):
     draw = np.random.default_rng(11)
     fresh = lambda n: [f"w{x}" for x in draw.integers(0, 1 << 40, n)]
