@@ -415,15 +415,15 @@ def _gram_sets(shingle: int, similarity: float):
 
 
 def _verify(similarity: float):
-    """Rows (block, fp, grams, known, asked), sorted by block: edges between each fp and the first of its component in the block."""
+    """Rows (block, fp, grams, known, asked), sorted by block: edges between the known component of each fp and that of the first it is linked with in the block."""
 
     def out(held: dict[int, tuple[bytes, int, bool]]) -> Iterator[pa.RecordBatch]:
-        fp = np.array(list(held), np.int64)
         grams, known, asked = zip(*held.values())
         root = similar_roots([np.frombuffer(g, np.uint64) for g in grams], similarity, np.array(known, np.int64), np.array(asked, bool))
-        moved = np.flatnonzero(fp[root] != fp)
+        label = np.array(known, np.int64)
+        moved = np.flatnonzero(label[root] != label)
         if len(moved):
-            yield pa.record_batch([pa.array(fp[moved]), pa.array(fp[root[moved]])], names=["a", "b"])
+            yield pa.record_batch([pa.array(label[moved]), pa.array(label[root[moved]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -447,8 +447,8 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
     return cut(dealt.sortWithinPartitions("block").mapInArrow(_verify(similarity), "a long, b long"))
 
 
-def similar_links(texts: DataFrame, similarity: float, shingle: int = 5, members: int = BLOCK_MEMBERS) -> DataFrame:
-    """texts (candidate, members, fp, text): edges (a, b) whose components are those of all links within a candidate of so many members.
+def similar_classes(texts: DataFrame, similarity: float, shingle: int = 5, members: int = BLOCK_MEMBERS) -> DataFrame:
+    """texts (candidate, members, fp, text): (fp, root), the components of all links within a candidate of so many members; an fp without a link may be missing.
 
     A group of at most `members` is one block. A larger one is dealt into blocks by band and
     hash, which first link what they hold, and then the first members of what they found. Most
@@ -458,46 +458,47 @@ def similar_links(texts: DataFrame, similarity: float, shingle: int = 5, members
     """
     sets = lambda rows: rows.mapInArrow(_gram_sets(shingle, similarity), GRAMS)
     plain = lambda rows: rows.withColumn("known", F.col("fp")).withColumn("asked", F.lit(True))
-    lane_of = lambda band: F.xxhash64("candidate", band)
+    lane = lambda band: F.xxhash64("candidate", band).alias("lane")
     block = lambda *of: F.xxhash64("candidate", *of).alias("block")
     parts = lambda n: F.ceil(n / F.lit(members)).cast("int")
+    place = lambda seed, ways: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(ways)).cast("int")
     three = lambda band: F.explode(F.array(F.col(band) - 1, F.col(band), F.col(band) + 1))
 
     found = _compared(plain(sets(texts.where(F.col("members") <= members)).withColumn("block", F.col("candidate"))), similarity)
-    big = keep(sets(texts.where(F.col("members") > members)).withColumn("lane", lane_of("band")), "near-sets")
-    lanes = cut(big.groupBy("lane", "candidate", "band").agg(F.count("*").alias("count")).withColumn("ways", parts(F.col("count"))))
-    if lanes.isEmpty():
+    found = found.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    if texts.where(F.col("members") > members).isEmpty():
         return found
-    counts = lanes.select("lane", "count")
-    big = spread_join(big, lanes.select("lane", "ways"), "lane", "fp", counts=counts)
-    big = keep(big.withColumn("place", F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")), "near-groups")
+    big = sets(texts.where(F.col("members") > members)).withColumn("ways", parts(F.col("members")))
+    big = keep(big.withColumn("place", place(0, "ways")), "near-sets")
     inner = _compared(plain(big.withColumn("block", block("band", "place"))), similarity)
     firsts = big.join(inner.select(F.col("a").alias("fp")), "fp", "left_anti")
-    heads = cut(firsts.groupBy("lane").agg(F.count("*").alias("count")))
-    firsts = spread_join(firsts, heads.select("lane", parts(F.col("count")).alias("__n")), "lane", "fp", counts=heads)
-    outer = _compared(plain(firsts.withColumn("block", block("band", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("__n"))))), similarity)
-    roots = connected_components(inner.union(outer)).select(F.col("node").alias("fp"), "root")
-    big = keep(big.join(roots, "fp", "left").withColumn("known", F.coalesce("root", "fp")).drop("root"), "near-known")
+    heads = cut(firsts.groupBy("candidate").count())
+    firsts = spread_join(firsts, heads.select("candidate", parts(F.col("count")).alias("__n")), "candidate", "fp", counts=heads)
+    outer = _compared(plain(firsts.withColumn("block", block("band", place(1, "__n")))), similarity)
+    # both lead to a first member in one step: two steps name what is known
+    named = big.select("candidate", "fp", "band", "ways", "place").distinct().join(inner.select(F.col("a").alias("fp"), "b"), "fp", "left").withColumn("head", F.coalesce("b", "fp")).drop("b")
+    named = spread_join(named, outer.select(F.col("a").alias("head"), "b"), "head", "fp", "left")
+    named = cut(named.withColumn("known", F.coalesce("b", "head")).drop("b", "head"))
 
     # the largest component of each group, counted before the shuffle; the members of all others are asked about
-    sizes = big.groupBy("candidate", "known").agg(F.count("*").alias("n")).groupBy("candidate")
+    sizes = named.groupBy("candidate", "known").agg(F.count("*").alias("n")).groupBy("candidate")
     most = cut(sizes.agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.sum("n").alias("count")))
-    loose = spread_join(big, most.drop("count"), "candidate", "fp", counts=most.select("candidate", "count")).where("known <> largest")
-    loose = keep(loose.select("candidate", "lane", "fp", "band", "grams", "known"), "near-loose")
-    asking = cut(loose.groupBy("lane", "candidate", "band").agg(F.count("*").alias("count")).withColumn("parts", parts(F.col("count"))))
-    if asking.isEmpty():
-        return found.union(inner).union(outer)
+    loose = cut(spread_join(named, most.drop("count"), "candidate", "fp", counts=most.select("candidate", "count")).where("known <> largest"))
+    if loose.isEmpty():
+        return found.union(named.select("fp", "known"))
+    asking = cut(loose.groupBy("candidate", "band").agg(F.count("*").alias("count")).select(lane("band"), "*", parts(F.col("count")).alias("parts")))
     # a loose member goes to every block of three bands
-    visits = spread_join(loose, asking.select("lane", "parts"), "lane", "fp", counts=asking.select("lane", "count"))
-    visits = visits.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts")).cast("int")).select("candidate", "fp", "band", "grams", "known", "part", three("band").alias("to"))
-    visits = spread_join(visits.withColumn("lane", lane_of("to")), lanes.select("lane", "ways"), "lane", "fp").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    visits = visits.select(block("band", "part", "to", "place"), "fp", "grams", "known", F.lit(True).alias("asked"))
-    # and the members of a block to the loose ones of its three bands: three rows at most for a lane
+    visits = spread_join(loose.withColumn("lane", lane("band")), asking.select("lane", "parts"), "lane", "fp", counts=asking.select("lane", "count"))
+    visits = visits.select("candidate", "fp", "known", "band", place(2, "parts").alias("part"), "ways", three("band").alias("to"))
+    visits = visits.select("*", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("at")).select(block("band", "part", "to", "at"), "fp", "known", F.lit(True).alias("asked"))
+    # and the members of a block to the loose ones of its three bands: three rows at most for a band
     hosts = asking.select("candidate", F.col("band").alias("from"), "parts", three("band").alias("band"))
-    hosts = hosts.groupBy("candidate", "band").agg(F.collect_list(F.struct("from", "parts")).alias("askers")).select(lane_of("band").alias("lane"), "askers")
-    hosted = spread_join(big, hosts, "lane", "fp", counts=counts).withColumn("q", F.explode("askers")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("q.parts") - 1)))
-    hosted = hosted.select(block("q.from", "part", "band", "place"), "fp", "grams", "known", F.lit(False).alias("asked"))
-    return found.union(inner).union(outer).union(_compared(visits.unionByName(hosted), similarity))
+    hosts = hosts.groupBy("candidate", "band").agg(F.collect_list(F.struct("from", "parts")).alias("askers")).select(lane("band"), "askers")
+    hosted = spread_join(named.withColumn("lane", lane("band")), hosts, "lane", "fp").withColumn("q", F.explode("askers"))
+    hosted = hosted.select("*", F.explode(F.sequence(F.lit(0), F.col("q.parts") - 1)).alias("part")).select(block("q.from", "part", "band", "place"), "fp", "known", F.lit(False).alias("asked"))
+    met = visits.union(hosted).join(big.select("fp", "grams").dropDuplicates(["fp"]), "fp")
+    joined = connected_components(_compared(met, similarity)).withColumnRenamed("node", "known")
+    return found.union(spread_join(named.select("fp", "known"), joined, "known", "fp", "left").select("fp", F.coalesce("root", "known")))
 
 
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -513,14 +514,14 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     prints = cut(with_wide(seen, "text", shingle).drop("text"))
     words = [f"c{i}" for i in range(WIDE)]
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tie"))
-    codes = cut(prints.groupBy("fp").agg(*[F.first(w).alias(w) for w in words], best.alias("b")))
+    codes = cut(prints.groupBy("fp").agg(*[F.first(w).alias(w) for w in words], best.alias("b"), F.count("*").alias("count")))
     near = connected_components(link_similar(codes, similarity)).withColumnRenamed("node", "fp").withColumnRenamed("root", "candidate")
     members = cut(near.groupBy("candidate").count())
     near = spread_join(near, members.withColumnRenamed("count", "members"), "candidate", "fp", counts=members)
     asked = codes.join(near, "fp").select("candidate", "members", "fp", F.col("b.key").alias("__k"), F.col("b.tie").alias("__t"))
     texts = seen.join(asked, (F.col("tie") == F.col("__t")) & F.col("key").eqNullSafe(F.col("__k"))).select("candidate", "members", "fp", "text")
-    roots = connected_components(similar_links(keep(texts, "near-texts"), similarity, shingle)).withColumnRenamed("node", "fp")
-    placed = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = similar_classes(keep(texts, "near-texts"), similarity, shingle)
+    placed = spread_join(prints, roots, "fp", "key", "left", codes.select("fp", "count")).withColumn("root", F.coalesce("root", "fp"))
     kept = cut(placed.groupBy("root").agg(best.alias("b")).select(F.col("b.key").alias("__k"), F.col("b.tie").alias("__t")))
     # rows that occur once need no ranking, so their texts are not dealt by it
     twice = prints.groupBy(F.col("key").alias("__rk"), F.col("tie").alias("__rt")).count().where("count > 1")

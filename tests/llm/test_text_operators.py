@@ -379,16 +379,15 @@ def test_blocks_of_a_large_group_against_brute_force(spark):
     rows_of = [(1 if i % 7 else 2, i, " ".join(f"{x:x}" for x in g)) for i, g in enumerate(sets)]
     many = Counter(r[0] for r in rows_of)
     frame = spark.createDataFrame([(c, many[c], i, t) for c, i, t in rows_of * 2], "candidate long, members long, fp long, text string")
-    from rolecast.llm.components import connected_components
-
     parent = list(range(len(sets)))
     for i, a in enumerate(sets):
         for k, b in enumerate(sets[:i]):
             if rows_of[i][0] == rows_of[k][0] and len(a & b) >= 0.8 * len(a | b):
                 parent = [min(parent[i], parent[k]) if r in (parent[i], parent[k]) else r for r in parent]
     for members in (8, 40, 1000):
-        found = {r.node: r.root for r in connected_components(simhash.similar_links(frame, 0.8, 1, members)).collect()}
-        assert [found.get(i, i) for i in range(len(sets))] == parent
+        found = {r.fp: r.root for r in simhash.similar_classes(frame, 0.8, 1, members).collect()}
+        groups = lambda of: sorted(sorted(i for i in range(len(sets)) if of(i) == r) for r in {of(i) for i in range(len(sets))})
+        assert groups(lambda i: found.get(i, i)) == groups(lambda i: parent[i])
 
 
 def test_hot_cells_lose_no_link(spark):
