@@ -50,7 +50,7 @@ def city_countries() -> dict[str, str]:
 
 
 def role_rules() -> list[tuple[str, str]]:
-    return [(needle, name) for name, needles in (*d.ROLE_FAMILIES, *d.COMMERCIAL_FAMILIES, *d.FIELD_FAMILIES) for needle in needles]
+    return [(needle, name) for name, needles in d.ROLE_FAMILIES for needle in needles]
 
 
 def hint_rules() -> list[tuple[str, str]]:
@@ -115,7 +115,7 @@ def industry(company: Column, role: Column, native: Column | None = None) -> Col
     if native is None:
         return F.coalesce(by_name, by_role)
     key = F.regexp_replace(F.regexp_replace(F.lower(native.cast("string")), r"[^a-z]+", "_"), r"^_|_$", "")
-    known = F.create_map(*[F.lit(x) for name, keys in d.INDUSTRY_KEYS.items() for k in keys for x in (k, name)])
+    known = F.create_map(*[F.lit(x) for pair in d.INDUSTRY_KEYS.items() for x in pair])
     return F.coalesce(known[key], by_name, by_role)
 
 

@@ -1,6 +1,7 @@
 """Scalar text, date and JSON semantics as Column -> Column functions."""
 
 import json
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -225,13 +226,27 @@ def fts_tokens(query: Column) -> Column:
     return F.slice(F.regexp_extract_all(F.lower(F.trim(query)), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}._+#-]*)"), 1), 1, 8)
 
 
-ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïīłľñńňòóôõöøōőŕřśšşțťùúûüūůűýÿźżž"
-PLAIN = "aaaaaaaaacccdeeeeeeeiiiiillnnnoooooooorrsssttuuuuuuuyyzzz"
+def _unaccented() -> tuple[str, str]:
+    """Letters of one code point that are a letter and marks, by Unicode's own decomposition, and the bare letters."""
+    pairs = []
+    for code in range(0x80, 0x3100):
+        bare = [c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c)]
+        if len(bare) == 1 and bare[0] != chr(code):
+            pairs.append((chr(code), bare[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _unaccented()
 
 
 def fold(value: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(value), ACCENTED, PLAIN)
+    """Lower case without diacritics, whether they are part of a letter or stand after it."""
+    return F.translate(F.regexp_replace(F.lower(value), r"\p{M}+", ""), ACCENTED, PLAIN)
+
+
+def unaccented(value: str) -> str:
+    """The same for a text at hand."""
+    return "".join(c for c in value.lower() if not unicodedata.category(c).startswith("M")).translate(str.maketrans(ACCENTED, PLAIN))
 
 
 def index_tokens(value: Column) -> Column:
@@ -239,6 +254,11 @@ def index_tokens(value: Column) -> Column:
     return F.regexp_extract_all(fold(value), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def index_text(value: Column) -> Column:
+    """The same words, each after a space: the form that searches look in, and that a table may store."""
+    return F.concat(F.lit(" "), F.regexp_replace(fold(value), r"[^\p{L}\p{N}]+", " "))
+
+
 def stable_fallback_id(*values: Column) -> Column:
     """Percent-encoded `title|location|url` of the parts that there are, else `unknown`."""
     joined = F.concat_ws("|", *[F.nullif(v.cast("string"), F.lit("")) for v in values])
