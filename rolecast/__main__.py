@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolecast.operators import ops, registry, snapshots
 from rolecast.plans import jobs as j
 from rolecast.sources import paged, providers, sinks, staged
+from rolecast.sources.state import Store
 from rolecast.streaming.snapshots import BOARDS
 
 
@@ -19,15 +20,16 @@ def session() -> SparkSession:
 
 def state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     columns = ["key", *snapshots.JOB_FIELDS, "first_seen_at", "last_seen_at", "closed_at"]
-    jobs = staged.read_if_exists(spark, f"{path}/jobs", ", ".join(f"{c} string" for c in columns) + ", is_active int")
-    return jobs, staged.read_if_exists(spark, f"{path}/boards", BOARDS)
+    store = Store(spark, path)
+    return store.read("jobs", ", ".join(f"{c} string" for c in columns) + ", is_active int"), store.read("boards", BOARDS)
 
 
 def fold(spark: SparkSession, path: str, jobs: DataFrame, results: DataFrame) -> None:
     """Folds a snapshot into the state under a path."""
     old_jobs, old_boards = state(spark, path)
-    sinks.swap(snapshots.apply_snapshot(old_jobs, snapshots.stage_jobs(jobs), results, snapshots.LOCAL).drop("change"), f"{path}/jobs")
-    sinks.swap(snapshots.apply_boards(old_boards, results if "ord" in results.columns else results.withColumn("ord", F.lit(0))), f"{path}/boards")
+    after = snapshots.apply_snapshot(old_jobs, snapshots.stage_jobs(jobs), results, snapshots.LOCAL).drop("change")
+    boards = snapshots.apply_boards(old_boards, results if "ord" in results.columns else results.withColumn("ord", F.lit(0)))
+    Store(spark, path).commit(jobs=after, boards=boards)
 
 
 def discover(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -52,9 +54,13 @@ def merge(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def sync(spark: SparkSession, a: argparse.Namespace) -> None:
     paged.register(spark)
-    boards = [json.loads(r.value) for r in registry.round_robin(spark.read.text(a.boards).select("value", F.get_json_object("value", "$.provider").alias("p"), F.monotonically_increasing_id().alias("o")), "p", "o", a.limit).collect()]
-    wanted = set(a.provider.split(",")) if a.provider else None
-    boards = [b for b in boards if not wanted or b["provider"] in wanted]
+    get = lambda p: F.get_json_object("value", f"$.{p}")
+    listed = spark.read.text(a.boards).select("value", get("key").alias("key"), get("provider").alias("p"), F.monotonically_increasing_id().alias("o"))
+    if a.provider:
+        listed = listed.where(F.col("p").isin(a.provider.split(",")))
+    if a.only_new:
+        listed = registry.only_new(listed, state(spark, a.state)[1])
+    boards = [json.loads(r.value) for r in registry.round_robin(listed, "p", "o", a.limit).collect()]  # at most limit
     read = spark.read.format("boards").option("boards", json.dumps(boards)).option("transport", a.transport).option("synced_at", a.now).load()
     path = f"{a.state}/staged"
     read.write.mode("overwrite").parquet(path)
@@ -94,7 +100,7 @@ def main(args: list[str] | None = None) -> None:
 
     command(discover, "urls", "output", "now", source="urls", ndjson=False)
     command(merge, "output").add_argument("shards", nargs="+")
-    command(sync, "boards", "state", "transport", "now", limit=1000, provider="")
+    command(sync, "boards", "state", "transport", "now", limit=1000, provider="", only_new=False)
     command(database, "state", "jobs", "sync")
     command(search, "state", search=None, location=None, company=None, title=None, country=None, provider=None, workplace=None, category=None, sort="newest", limit=50, cursor=None, posted_within=None)
     command(report, "state")

@@ -1,7 +1,7 @@
 """The engine over stored state: what a caller can ask for, in one place.
 
-State lies under a path as Parquet tables (jobs, boards, companies, runs, failures, health).
-Reads are lazy DataFrames; writes fold and swap whole tables.
+State lies under a path as versions of Parquet tables (jobs, boards, companies, runs, failures,
+health). Reads are lazy DataFrames; a write folds tables and commits them together.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecast.operators import ops, schedule, snapshots
 from rolecast.plans import jobs as j
-from rolecast.sources import sinks, staged
+from rolecast.sources.state import Store
 
 TEXT = lambda *names: ", ".join(f"{n} string" for n in names)
 SCHEMAS = {
@@ -26,16 +26,14 @@ MODES = {"local": snapshots.LOCAL, "production": snapshots.PRODUCTION, "http": s
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.store = spark, path, Store(spark, path)
 
     def table(self, name: str) -> DataFrame:
-        return staged.read_if_exists(self.spark, f"{self.path}/{name}", SCHEMAS[name])
+        return self.store.read(name, SCHEMAS[name])
 
     def save(self, **tables: DataFrame) -> None:
-        """Writes all tables before it swaps the first, so that none is made from another's new state."""
-        held = {name: frame.checkpoint() for name, frame in tables.items()}
-        for name, frame in held.items():
-            sinks.swap(frame, f"{self.path}/{name}")
+        """All of the tables change, or none."""
+        self.store.commit(**tables)
 
     # Reads
 
@@ -102,7 +100,13 @@ class Engine:
         self.save(failures=self.table("failures").unionByName(ops.dead_letters(tasks, now).withColumn("attempts", F.col("attempts").cast("bigint"))))
 
     def run_maintenance(self, now: str) -> None:
-        """Retention, title counts, health and failures, once a day."""
+        """Archive, retention, title counts, health and failures, once a day.
+
+        Only postings that are in the archive leave the state. A crash in between leaves them
+        in both, and they are archived again.
+        """
         failures = self.table("failures")
-        out = schedule.maintenance(self.table("jobs"), self.table("runs"), failures.withColumn("key", F.col("id")), self.table("boards"), self.table("health"), now)
+        archived = ops.archive_rows(self.table("jobs"), now).checkpoint()
+        ops.write_archive(archived, f"{self.path}/archive")
+        out = schedule.maintenance(self.table("jobs"), self.table("runs"), failures.withColumn("key", F.col("id")), self.table("boards"), self.table("health"), now, archived)
         self.save(**{name: frame.select(*self.table(name).columns) for name, frame in out.items()})

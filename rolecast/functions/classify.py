@@ -73,7 +73,7 @@ def _first_hit(text: Column, rules: list[tuple[str, str]], edge: str | None) ->
             out = out.when(hit, F.lit(label))
         return out
 
-    return F.get(F.transform(F.array(text), chain), F.lit(0))
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(text), chain), F.lit(0)))
 
 
 def _place(location: Column) -> Column:

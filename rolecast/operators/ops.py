@@ -96,10 +96,15 @@ def archive_rows(jobs: DataFrame, now: str, days: int = 30, most: int = 5000) ->
     return jobs.where(old).orderBy("closed_at", "key").limit(most).withColumn("day", F.lit(now[:10]))
 
 
+def write_archive(rows: DataFrame, path: str) -> None:
+    """Appends rows as gzip NDJSON below a folder for the day."""
+    rows.write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
+
+
 def archive(jobs: DataFrame, path: str, now: str) -> DataFrame:
-    """Writes the rows to archive as gzip NDJSON below a folder for the day, and returns the rows that stay."""
+    """Writes the rows to archive, and returns the rows that stay."""
     rows = archive_rows(jobs, now)
-    rows.write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
+    write_archive(rows, path)
     return jobs.join(rows.select("key"), "key", "left_anti")
 
 

@@ -169,3 +169,8 @@ def upsert_pages(state: DataFrame, pages: DataFrame) -> DataFrame:
     both = state.withColumn("__new", F.lit(0)).unionByName(pages.withColumn("__new", F.lit(1)))
     rn = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("__new"), F.desc("updated_at")))
     return both.withColumn("__rn", rn).where("__rn = 1").drop("__rn", "__new")
+
+
+def only_new(boards: DataFrame, known: DataFrame) -> DataFrame:
+    """The boards that the state does not hold yet, by key; null keys are new."""
+    return boards.join(known.select("key").distinct(), "key", "left_anti")

@@ -22,9 +22,9 @@ def due(state: dict, now: str, sync_minutes: int = 60, discovery_days: int = 7)
     return found
 
 
-def maintenance(jobs: DataFrame, runs: DataFrame, failures: DataFrame, boards: DataFrame, health: DataFrame, now: str) -> dict[str, DataFrame]:
-    """The tables after a day's maintenance. jobs: key, closed_at, is_active, provider, title; runs: key, started_at; failures: key, board_key, resolved_at."""
-    kept = ops.prune(jobs, "closed_at", now, 30, also=jobs["is_active"] == 0)
+def maintenance(jobs: DataFrame, runs: DataFrame, failures: DataFrame, boards: DataFrame, health: DataFrame, now: str, archived: DataFrame) -> dict[str, DataFrame]:
+    """The tables after a day's maintenance. jobs: key, closed_at, is_active, provider, title; runs: key, started_at; failures: key, board_key, resolved_at; archived: the postings that an archive holds, which alone go."""
+    kept = jobs.join(archived.select("key"), "key", "left_anti")
     return {
         "jobs": kept,
         "titles": title_counts(kept),

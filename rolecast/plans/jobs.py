@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.functions.classify import country_flag
-from rolecast.functions.text import PROVIDER_LABELS, hash32, humanize_identifier, index_tokens, initials, provider_label
+from rolecast.functions.text import PROVIDER_LABELS, hash32, humanize_identifier, index_text, initials, provider_label, unaccented
 
 SET_LIMIT, LIKE_LIMIT, TITLE_LIMIT = 12, 48, 60
 #: Sets of a request: parameter -> column.
@@ -79,34 +79,23 @@ def like_raw(column: Column, term: str | None) -> Column | None:
 def fts_match(query: str, *columns: Column) -> Column | None:
     """Whether every search token begins some run of words: tokens that hold marks are phrases, the last word a prefix."""
     import re
-    import unicodedata
 
-    def plain(text: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-
-    tokens = re.findall(r"[^\W_][\w.+#-]*", query.strip().lower())[:8]
+    tokens = re.findall(r"[^\W_][\w.+#-]*", unaccented(query.strip()))[:8]
     if not tokens:
         return None
     found = None
     for token in tokens:
-        words = re.findall(r"[^\W_]+", plain(token))
-        if not words:
+        words = " " + " ".join(re.findall(r"[^\W_]+", token))
+        if words == " ":
             continue
         in_any = None
         for column in columns:
-            index = index_tokens(F.coalesce(column, F.lit("")))
-            hit = _phrase(index, words)
+            hit = F.contains(index_text(F.coalesce(column, F.lit(""))), F.lit(words))
             in_any = hit if in_any is None else in_any | hit
         found = in_any if found is None else found & in_any
     return found
 
 
-def _phrase(index: Column, words: list[str]) -> Column:
-    """Whether the words stand next to one another in the token array, the last one as a prefix."""
-    text = F.concat(F.lit(" "), F.array_join(index, " "))
-    return F.contains(text, F.lit(" " + " ".join(words)))
-
-
 def company_name() -> Column:
     return F.coalesce("company_name", "company_identifier")
 

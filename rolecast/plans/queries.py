@@ -207,7 +207,7 @@ def adaptive_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {a.BOARDS_SQL} SELECT key FROM boards WHERE last_synced_at IS NULL OR last_synced_at >= '2026-07-11'")
 def only_new_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     boards = a.boards(spark, sf_dir)
-    return boards.join(boards.where("last_synced_at < '2026-07-11'"), "key", "left_anti").select("key")
+    return registry.only_new(boards, boards.where("last_synced_at < '2026-07-11'")).select("key")
 
 
 @query(

@@ -134,7 +134,7 @@ def maintenance_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures = boards.select("key", F.col("key").alias("board_key"), F.lit(None).cast("string").alias("resolved_at"))
     health = boards.select("provider", F.lit(0).cast("bigint").alias("active_jobs")).distinct()
     runs = boards.select("key", F.col("updated_at").alias("started_at"))
-    return schedule.maintenance(jobs, runs, failures, boards, health, NOW)["titles"]
+    return schedule.maintenance(jobs, runs, failures, boards, health, NOW, ops.archive_rows(jobs, NOW))["titles"]
 
 
 @query(

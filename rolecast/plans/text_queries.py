@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecast.functions import classify, text
 from rolecast.functions.dictionaries import ANYWHERE, CATEGORIES, INDUSTRY_OF_ROLE, US_STATE_CODES
-from rolecast.functions.grammar import TARGETS, parse_board, with_board
+from rolecast.functions.grammar import parse_board, with_board
 from rolecast.operators import registry
 from rolecast.plans import analogues as a
 from rolecast.plans.queries import query, sql_text, sql_values, values
@@ -67,9 +67,12 @@ def humanize_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("identifier", "provider", text.humanize_identifier(F.col("identifier"), F.col("provider")).alias("name"))
 
 
-@query(f"SELECT * FROM {sql_values('v', 'provider, label', *text.PROVIDER_LABELS.items(), ('other', 'Other'))}")
+LABELS = (("ashby", "Ashby"), ("bamboohr", "BambooHR"), ("gem", "Gem"), ("getro", "Getro"), ("greenhouse", "Greenhouse"), ("icims", "iCIMS"), ("LEVER", "Lever"), ("paylocity", "Paylocity"), ("rippling", "Rippling"), ("smartrecruiters", "SmartRecruiters"), ("sparkhire", "Spark Hire"), ("workday", "Workday"), ("other", "Other"))
+
+
+@query(f"SELECT * FROM {sql_values('v', 'provider, label', *LABELS)}")
 def provider_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = values(spark, "provider string", *[(k,) for k in (*text.PROVIDER_LABELS, "other")])
+    v = values(spark, "provider string", *[(k,) for k, _ in LABELS])
     return v.select("provider", text.provider_label(F.col("provider")).alias("label"))
 
 
@@ -210,7 +213,12 @@ def board_grammar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_board(a.table(spark, sf_dir, "pages").select("page_id", url.alias("board")), "board").select("page_id", "board.key", "board.api_url")
 
 
-@query(f"SELECT * FROM {sql_values('v', 'provider, pattern, region', *[(t[0], t[1], t[4]) for t in TARGETS])}")
+@query(
+    """SELECT provider, pattern, CASE WHEN pattern = 'jobs.eu.lever.co/*' THEN 'eu' ELSE 'global' END AS region FROM (VALUES
+    ('lever', 'jobs.lever.co/*'), ('lever', 'jobs.eu.lever.co/*'), ('greenhouse', '*.greenhouse.io/*'), ('ashby', 'jobs.ashbyhq.com/*'), ('gem', 'jobs.gem.com/*'), ('getro', '*.getro.com/jobs/*'),
+    ('getro', 'getro.org/jobs/*'), ('sparkhire', '*.comeet.com/jobs/*'), ('rippling', 'ats.rippling.com/*'), ('smartrecruiters', 'jobs.smartrecruiters.com/*'), ('smartrecruiters', 'careers.smartrecruiters.com/*'),
+    ('bamboohr', '*.bamboohr.com/careers/*'), ('workday', '*.myworkdayjobs.com/*'), ('workday', '*.myworkdaysite.com/*'), ('icims', '*.icims.com/jobs/*'), ('paylocity', 'recruiting.paylocity.com/*')) t(provider, pattern)"""
+)
 def discovery_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.discovery_targets(spark).select("provider", "pattern", "region")
 
@@ -369,9 +377,13 @@ def board_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "events").select("event_id", classify.board_status(k % 5, code, wrong, failed).alias("synced"), classify.validation_status(k % 5, code, wrong, failed).alias("validated"))
 
 
-@query(f"SELECT * FROM {sql_values('v', 'name, country', *classify.city_countries().items())}")
+SOME_CITIES = (("San Francisco", "us"), ("Cluj-Napoca", "ro"), ("Hong Kong", "hk"), ("Berlin", "de"), ("Tokyo", "jp"), ("Cape Town", "za"), ("Wellington", "nz"), ("Tel Aviv", "il"))
+
+
+@query(f"SELECT * FROM {sql_values('v', 'name, country', *SOME_CITIES)}")
 def city_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, "name string, country string", *classify.city_countries().items())
+    wanted = [name for name, _ in SOME_CITIES]
+    return values(spark, "name string, country string", *classify.city_countries().items()).where(F.col("name").isin(wanted))
 
 
 @query(f"SELECT * FROM {sql_values('v', 'code, name, flag', ('de', 'Germany', '🇩🇪'), ('us', 'United States', '🇺🇸'), ('xx', None, '🇽🇽'), ('usa', None, None))}")

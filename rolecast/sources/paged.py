@@ -167,7 +167,9 @@ class BoardReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [BoardPartition(b) for b in self.boards]
 
-    def read(self, partition: BoardPartition) -> Iterator[tuple]:
+    def read(self, partition: BoardPartition | None) -> Iterator[tuple]:
+        if partition is None:  # no board at all
+            return
         b, send = partition.board, transport(self.send)
         head = (b["key"], b["provider"], b["identifier"], b.get("region", "global"), b["board_url"], b["api_url"])
         try:
@@ -209,7 +211,9 @@ class CrawlReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [PagePartition(t, p) for t in self.targets for p in t["pages"]]
 
-    def read(self, partition: PagePartition) -> Iterator[tuple]:
+    def read(self, partition: PagePartition | None) -> Iterator[tuple]:
+        if partition is None:  # no page at all
+            return
         t = partition.target
         query = {"url": t.get("query") or t["pattern"], "output": "json", "fl": "url", "filter": "status:200", "collapse": "urlkey", "page": partition.page}
         if t.get("match_type"):

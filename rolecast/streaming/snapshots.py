@@ -1,8 +1,7 @@
 """Snapshots as a stream: each micro-batch is folded into the stored state.
 
-The state is a pair of Parquet tables under a path, replaced whole after each batch. A
-batch id that was folded already is skipped, so that a restarted stream folds each batch
-once. Failed snapshots change no posting. Snapshots are folded in the order of their time;
+Postings, boards and the number of the batch are committed as one version after each batch,
+so that a restarted stream folds each batch once, whenever it stopped. Failed snapshots change no posting. Snapshots are folded in the order of their time;
 a late one that is older than the state overwrites it unless reject_stale is set.
 """
 
@@ -13,8 +12,7 @@ from pyspark.sql import functions as F
 
 from rolecast.operators.snapshots import apply_boards, apply_snapshot, keep_first
 from rolecast.operators.snapshots import LOCAL, Mode
-from rolecast.sources.sinks import swap
-from rolecast.sources.staged import read_if_exists
+from rolecast.sources.state import Store
 
 JOBS = "key string, source_id string, board_key string, title string, location string, first_seen_at string, last_seen_at string, closed_at string, is_active int"
 BOARDS = "key string, provider string, identifier string, status string, job_count bigint, first_seen_at string, last_synced_at string, last_success_at string, error string"
@@ -24,29 +22,31 @@ class SnapshotState:
     """The stored postings and boards."""
 
     def __init__(self, spark: SparkSession, path: str, mode: Mode = LOCAL, reject_stale: bool = False):
-        self.spark, self.path, self.mode, self.reject_stale = spark, path, mode, reject_stale
+        self.spark, self.store, self.mode, self.reject_stale = spark, Store(spark, path), mode, reject_stale
 
     def jobs(self) -> DataFrame:
-        return read_if_exists(self.spark, f"{self.path}/jobs", JOBS)
+        return self.store.read("jobs", JOBS)
 
     def boards(self) -> DataFrame:
-        return read_if_exists(self.spark, f"{self.path}/boards", BOARDS)
+        return self.store.read("boards", BOARDS)
 
     def done(self) -> int:
-        last = read_if_exists(self.spark, f"{self.path}/batches", "batch bigint").agg(F.max("batch")).first()[0]
-        return -1 if last is None else last
+        """The last batch that was folded, -1 before the first."""
+        return self.store.version()["notes"].get("batch", -1)
 
-    def fold(self, postings: DataFrame, results: DataFrame) -> None:
-        """Folds one snapshot of each board: postings (JOBS fields, synced_at, ord) and results (key, provider, identifier, status, job_count, synced_at, error)."""
+    def folded(self, jobs: DataFrame, boards: DataFrame, postings: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and boards after one snapshot of each board: postings (JOBS fields, synced_at, ord) and results (key, provider, identifier, status, job_count, synced_at, error)."""
         if self.reject_stale:
-            known = self.boards().select("key", F.col("last_synced_at").alias("__at"))
+            known = boards.select("key", F.col("last_synced_at").alias("__at"))
             results = results.join(known, "key", "left").where("__at is null or synced_at >= __at").drop("__at")
         mine = postings.join(results.select(F.col("key").alias("board_key")), "board_key", "left_semi")
-        after = apply_snapshot(self.jobs(), keep_first(mine, "key", "ord"), results, self.mode).drop("change")
-        boards = apply_boards(self.boards(), results.withColumn("ord", F.lit(0)))
-        after, boards = after.checkpoint(), boards.checkpoint()  # the tables that they read are about to go
-        swap(after, f"{self.path}/jobs")
-        swap(boards, f"{self.path}/boards")
+        after = apply_snapshot(jobs, keep_first(mine, "key", "ord"), results, self.mode).drop("change")
+        return after, apply_boards(boards, results.withColumn("ord", F.lit(0)))
+
+    def fold(self, postings: DataFrame, results: DataFrame) -> None:
+        """Folds one snapshot of each board into the stored state."""
+        jobs, boards = self.folded(self.jobs(), self.boards(), postings, results)
+        self.store.commit(jobs=jobs, boards=boards)
 
     def batch(self, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Callable[[DataFrame, int], None]:
         """For foreachBatch. split: rows of a batch -> postings and results with a column `round` that orders a board's snapshots."""
@@ -57,9 +57,12 @@ class SnapshotState:
             postings, results = split(rows)
             postings, results = postings.checkpoint(), results.checkpoint()
             most = results.agg(F.max("round")).first()[0] or 0
+            jobs, boards = self.jobs(), self.boards()
             for i in range(1, most + 1):  # a board's snapshots one after the other; boards side by side
-                self.fold(postings.where(F.col("round") == i).drop("round"), results.where(F.col("round") == i).drop("round"))
-            self.spark.createDataFrame([(batch,)], "batch bigint").write.mode("append").parquet(f"{self.path}/batches")
+                if i > 1:
+                    jobs, boards = jobs.checkpoint(), boards.checkpoint()
+                jobs, boards = self.folded(jobs, boards, postings.where(F.col("round") == i).drop("round"), results.where(F.col("round") == i).drop("round"))
+            self.store.commit({"batch": batch}, **({"jobs": jobs, "boards": boards} if most else {}))
 
         return run
 

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from rolecast.plans import queries, state_queries, text_queries  # noqa: F401
+from rolecast.plans import provider_queries, queries, state_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
