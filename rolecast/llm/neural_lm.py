@@ -223,8 +223,8 @@ class Network:
     def log10(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised log-probabilities of the targets, by products of a block of tokens with all classes."""
         out, ones = np.empty(len(targets)), np.ones(self.size, np.float32)
-        for a in range(0, len(targets), 2048):
-            b = min(len(targets), a + 2048)
+        for a in range(0, len(targets), 512):  # a block's ratings stay in the cache
+            b = min(len(targets), a + 512)
             rated = self.predictions(windows[:, a:b]) @ self.vectors.T
             rated += self.bias
             if rated.max() > 60:
@@ -362,7 +362,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", settings
     Held out are the rows whose crc32 of the key as text is a multiple of 10 (a null key: as
     the empty text); all others train. Null and blank texts are their end alone. Repeated
     rows are scored alike and count as often as they occur. Without training text every
-    score is the baseline's. Other columns are not read.
+    score is the baseline's. Other columns are not read. Rows are numbered as they are read,
+    so docs is to be a stored table, which a repeated task reads in the same order.
     """
     spark = docs.sparkSession
     prepare(spark)
