@@ -6,6 +6,7 @@ stays inside the scan's stage. Other engines' SQL can be generated from the same
 """
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,11 +58,15 @@ def hint_rules() -> list[tuple[str, str]]:
     return [(needle, name) for name, needles in d.INDUSTRY_HINTS for needle in needles]
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value computed once however often make repeats it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _first_hit(text: Column, rules: list[tuple[str, str]], edge: str | None) -> Column:
     """The label of the first needle in text. edge: characters that may not touch the needle's first occurrence.
 
-    A chain of literal searches that ends at the first hit; the text is bound once, so that
-    the chain does not repeat how it is made.
+    A chain of literal searches that ends at the first hit.
     """
 
     def chain(t: Column) -> Column:
@@ -73,7 +78,7 @@ def _first_hit(text: Column, rules: list[tuple[str, str]], edge: str | None) ->
             out = out.when(hit, F.lit(label))
         return out
 
-    return F.when(text.isNotNull(), F.get(F.transform(F.array(text), chain), F.lit(0)))
+    return F.when(text.isNotNull(), _bound(text, chain))
 
 
 def _place(location: Column) -> Column:
@@ -121,17 +126,24 @@ def industry(company: Column, role: Column, native: Column | None = None) -> Col
 
 def category(title: Column, department: Column) -> Column:
     value = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(department, F.lit(""))))
-    out = F.lit(None).cast("string")
-    for name, words in reversed(d.CATEGORIES):
-        out = F.when(value.rlike(rf"\b({'|'.join(words)})\b"), F.lit(name)).otherwise(out)
-    return F.coalesce(out, F.lit("Other"))
+
+    def chain(v: Column) -> Column:
+        out = F.lit("Other")
+        for name, words in reversed(d.CATEGORIES):
+            out = F.when(v.rlike(rf"\b({'|'.join(words)})\b"), F.lit(name)).otherwise(out)
+        return out
+
+    return _bound(value, chain)
 
 
 def workplace(value: Column) -> Column:
     """Hybrid, Remote, On-site or Unspecified."""
-    text = F.lower(F.replace(clean_string(value), F.lit("_"), F.lit("-")))
-    on_site = text.contains("on-site") | text.contains("onsite") | text.contains("office")
-    return F.when(text.contains("hybrid"), "Hybrid").when(text.contains("remote"), "Remote").when(on_site, "On-site").otherwise("Unspecified")
+
+    def chain(text: Column) -> Column:
+        on_site = text.contains("on-site") | text.contains("onsite") | text.contains("office")
+        return F.when(text.contains("hybrid"), "Hybrid").when(text.contains("remote"), "Remote").when(on_site, "On-site").otherwise("Unspecified")
+
+    return _bound(F.lower(F.replace(clean_string(value), F.lit("_"), F.lit("-"))), chain)
 
 
 def board_status(job_count: Column, http_status: Column, invalid_payload: Column, failed: Column) -> Column:

@@ -409,6 +409,8 @@ def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     bodies = e.groupBy(board.alias("identifier")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("body"))
     boards = bodies.select(F.concat(F.lit("ashby:global:"), "identifier").alias("key"), F.lit("ashby").alias("provider"), "identifier", F.lit("global").alias("region"), F.lit("").alias("board_url"), F.lit("").alias("api_url"), "body", F.lit(BASE).alias("synced_at"))
+    # parsing takes far longer than bytes tell, by which small partitions are joined
+    boards = boards.repartition(2 * spark.sparkContext.defaultParallelism, "key")
     return providers.normalise(boards, "ashby").select("key", "title", "employment_type", "workplace", "category", "published_at", "url")
 
 

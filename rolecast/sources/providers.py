@@ -334,7 +334,8 @@ def _items(staged: DataFrame, name: str) -> DataFrame:
 
 def normalise(staged: DataFrame, provider: str) -> DataFrame:
     """The postings in a provider's staged responses. Items that pages repeat count once; those that cannot be told apart by anything are dropped where the provider tells them apart."""
-    found = _items(staged, provider).select("*", F.posexplode("items").alias("__at", "item")).drop("items")
+    # an outer generator gets no inferred filter on its array, which would parse each body again
+    found = _items(staged, provider).select("*", F.posexplode_outer("items").alias("__at", "item")).drop("items").where("__at is not null")
     same = PROVIDERS[provider].same
     if same is not None:
         from rolecast.operators.snapshots import keep_first
