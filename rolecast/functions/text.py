@@ -2,7 +2,7 @@
 
 import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -198,10 +198,26 @@ def humanize_identifier(identifier: Column, provider: Column) -> Column:
     return F.when(hidden, F.concat(F.lit("Paylocity employer "), F.upper(F.substring(value, 1, 6)))).otherwise(words)
 
 
-def initials(value: Column) -> Column:
+#: Letters that have an upper case in Spark's Unicode 16 and none in DuckDB's 15.
+LATER = "\u019b\u0264\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
+
+
+def upper_letters(value: Column) -> Column:
+    """Upper case as DuckDB has it: a letter stays one letter, so that ß becomes ẞ and not SS."""
+    # what would become several letters and has one of its own; the rest of those stay as they are
+    own = {"ß": "ẞ"} | {c: c.title() for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1 and len(c.title()) == 1 and c.title() != c}
+    letter = lambda c: F.when((F.length(F.upper(c)) == F.length(c)) & ~F.lit(LATER).contains(c), F.upper(c)).otherwise(F.translate(c, "".join(own), "".join(own.values())))
+    return F.array_join(F.transform(F.split(value, ""), letter), "")
+
+
+#: What ``\s`` is in DuckDB.
+SQL_SPACE = r"[\t\n\f\r ]"
+
+
+def initials(value: Column, space: str = SPACE, upper: Callable[[Column], Column] = F.upper) -> Column:
     """The first characters of the first two words, in upper case."""
-    parts = F.slice(F.filter(F.split(value, rf"{SPACE}+"), lambda p: p != ""), 1, 2)
-    return F.upper(F.array_join(F.transform(parts, lambda p: F.substring(p, 1, 1)), ""))
+    parts = F.slice(F.filter(F.split(value, f"{space}+"), lambda p: p != ""), 1, 2)
+    return upper(F.array_join(F.transform(parts, lambda p: F.substring(p, 1, 1)), ""))
 
 
 def hash32(value: Column) -> Column:

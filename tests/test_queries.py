@@ -39,3 +39,15 @@ def test_same_rows(spark, duck, name):
     assert columns == sorted(want.columns)
     at = [want.columns.index(c) for c in columns]
     assert rows == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_initials_of_odd_texts(spark, tmp_path):
+    """Every letter, every space, and texts without words give the initials of the SQL."""
+    letters = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000]
+    texts = [f"{c}x y" for c in letters] + [f"a{c}b c" for c in map(chr, [*range(1, 0x300), *range(0x1680, 0x1681), *range(0x2000, 0x2070), 0x3000, 0xFEFF])]
+    texts += [None, "", " \t\n", "ß ß", "\u0149 ǰ", "e\u0301x ﬁx", "\r\none"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    want = duckdb.sql(f"WITH documents AS (FROM '{path}/*.parquet') {queries.ORACLE_SQL['initials']}").fetchall()
+    got = {r.doc_id: r.initials for r in queries.QUERIES["initials"](spark, str(tmp_path)).collect()}
+    assert [(texts[k], w, got[k]) for k, w in want if w != got[k]] == [] and len(want) == len(got)
