@@ -1,12 +1,12 @@
 """A quality classifier by perplexity under interpolated modified Kneser-Ney models of trusted text.
 
-The tokens are UTF-8 bytes. n-gram counts of the trusted sample, a language at a time, are
-summed in shards dealt by n-gram; continuation counts, discounts and context totals come
-from joining those counts with one another, all orders at once. The sample is bounded by
-parameters (documents and bytes), and by its bytes the probabilities, which are interpolated
-where they are gathered and go along to the scoring tasks. A document is kept if its
-perplexity is at most a high quantile of those of trusted documents of its language that were
-held out, widened by a margin.
+The tokens are UTF-8 bytes. All trusted documents that are not held out are counted, a language
+at a time, and the counts summed in shards dealt by n-gram; continuation counts, discounts and
+context totals come from joining those counts with one another, all orders at once. What grows
+with the text is the number of different n-grams, and much more slowly; their probabilities are
+interpolated where they are gathered and go along to the scoring tasks. A document is kept if
+its perplexity is at most a high quantile of those of all trusted documents of its language that
+were held out, widened by a margin.
 """
 
 from collections.abc import Iterator
@@ -27,13 +27,11 @@ class Settings:
     """Production parameters."""
 
     order: int = 5
-    #: Trusted documents drawn for the model, and as many again for the quantiles.
-    sample: int = 6000
-    #: Whole trusted documents train the model until this many bytes have begun.
-    sample_bytes: int = 24 << 20
-    #: Documents of a language in the sample, and held out, that it needs for a model and quantiles of its own:
-    #: at most 2 * sample / least_held_out languages have them. Where even all languages together have fewer
-    #: held out, the limit is the mean and four standard deviations of the whole sample.
+    #: Trusted documents drawn for the model, and as many again for the quantiles; None: all there are.
+    sample: int | None = None
+    #: Trusted documents of a language, and held out, that it needs for a model and quantiles of its own.
+    #: Where even all languages together have fewer held out, the limit is the mean and four standard
+    #: deviations of all trusted documents.
     least_held_out: int = 50
     quantile: float = 0.995
     #: Bits a byte by which the quantile is widened; and bits that a number or address may cost a text besides.
@@ -43,9 +41,6 @@ class Settings:
     min_bytes: int = 100
 
 
-#: Tasks that count the sample, which is bounded.
-SAMPLE_TASKS = 12
-
 # An n-gram's key is its bytes below a leading 1 in base 2^8, so that all orders up to 7 share one key space.
 
 
@@ -90,7 +85,7 @@ def _count(order: int):
                 size = 0
         for lang, parts in held.items():
             keys, n = add_up(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["lang", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(keys)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["lang", "key", "n"])
 
     return run
 
@@ -114,7 +109,7 @@ def estimates(counts: DataFrame, order: int) -> DataFrame:
     of = levels.groupBy("lang", "order").agg(*[F.coalesce(F.sum((F.col("n") == i).cast("long")), F.lit(0)).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)])
     y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
     discount = lambda i: F.when((F.col("t1") > 0) & (F.col(f"t{i}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i * 0.95), i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")))).otherwise(F.lit(0.5))
-    # a row for each language and order, of which there are at most (2 * sample / least_held_out + 1) * order
+    # a row for each order of each language that has a model
     known = F.broadcast(of.select("lang", "order", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)]))
     rows = levels.join(known, ["lang", "order"])
     rows = rows.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
@@ -187,22 +182,49 @@ class Model:
         return out
 
 
-def bits_per_byte(text: str | None, model: Model) -> float:
-    codes = text_bytes(text)
-    return float(model.bits(codes).mean()) if len(codes) else 0.0
-
-
-def judge(text: str | None, lang: str | None, models: dict[str, Model], most: dict[str, float], settings: Settings) -> tuple[int, float | None, bool]:
-    """Bytes, bits per byte (null: no model or no byte) and whether the text is kept."""
-    codes = text_bytes(text)
-    model = models.get(lang or "") or models.get("")
-    if model is None or not len(codes):
-        return len(codes), None, True
-    bits = float(model.bits(codes).mean())
-    known = most.get(lang or "", most.get(""))
-    if known is None or len(codes) < settings.min_bytes:
-        return len(codes), bits, True
-    return len(codes), bits, bits <= known + settings.margin + settings.extra / len(codes)
+#: Bytes of short texts that are looked up together.
+TOGETHER = 1 << 15
+
+
+def means(texts: list[np.ndarray], model: Model) -> list[float]:
+    """The mean bits of each text; none is empty. Texts are looked up one behind the other, with bytes 0 between them."""
+    gap = np.zeros(model.order - 1, np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    firsts = np.cumsum(lengths + len(gap)) - lengths - len(gap)
+    found = model.bits(np.concatenate([part for t in texts for part in (t, gap)]))
+    # sums from each text's first byte to its last, then over the gap behind it
+    bounds = np.stack([firsts, firsts + lengths], 1).ravel()
+    sums = np.add.reduceat(np.append(found, 0.0), bounds)[::2]
+    return (sums / lengths).tolist()
+
+
+def judged(texts: list[str | None], langs: list[str | None], models: dict[str, Model], most: dict[str, float], settings: Settings) -> list[tuple[int, float | None, bool]]:
+    """Of each text its bytes, bits per byte (null: no model or no byte) and whether it is kept."""
+    codes = [text_bytes(t) for t in texts]
+    bits: list[float | None] = [None] * len(codes)
+    waiting: dict[str, list[int]] = {}
+    size: dict[str, int] = {}
+
+    def look_up(name: str) -> None:
+        at = waiting.pop(name)
+        for i, mean in zip(at, means([codes[i] for i in at], models[name])):
+            bits[i] = mean
+
+    for i, (lang, text) in enumerate(zip(langs, codes)):
+        name = lang if lang in models else ""
+        if name in models and len(text):
+            waiting.setdefault(name, []).append(i)
+            size[name] = (size[name] if len(waiting[name]) > 1 else 0) + len(text)
+            if size[name] >= TOGETHER:
+                look_up(name)
+    for name in list(waiting):
+        look_up(name)
+    out = []
+    for text, mean, lang in zip(codes, bits, langs):
+        known = most.get(lang or "", most.get(""))
+        sure = mean is None or known is None or len(text) < settings.min_bytes
+        out.append((len(text), mean, sure or mean <= known + settings.margin + settings.extra / len(text)))
+    return out
 
 
 @dataclass
@@ -214,69 +236,139 @@ class Classifier:
     settings: Settings
 
 
+#: 64-bit words in a map of hashed ids: 8 MB at every size. It only saves the shuffle of texts that no label names.
+SIEVE_WORDS = 1 << 20
+
+
+def _sieve(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows of docs whose `on` may be in ids: all that are, and some that are not."""
+    of = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SIEVE_WORDS)).cast("int")
+    h = F.xxhash64(on)
+    found = ids.select(of(h).alias("word"), h.alias("h")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("bits")).toArrow()
+    words = np.zeros(SIEVE_WORDS, np.int64)
+    words[np.asarray(found["word"])] = np.asarray(found["bits"])
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.asarray(batch.column("__h"))
+            yield batch.filter(pa.array((shared.value[(h >> 6) % SIEVE_WORDS] >> (h & 63)) & 1 == 1, pa.bool_()))
+
+    return docs.withColumn("__h", h).mapInArrow(run, docs.withColumn("__h", h).schema).drop("__h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier:
-    """Fits models and quantiles on documents labelled quality 1 and not toxic: at most 2 * sample of them, drawn by hash.
+    """Fits models and quantiles on all documents labelled quality 1 and not toxic: half of them train, half are held out.
 
     Labels without a document, null labels and documents of no trusted label do not matter;
     of several rows with one trusted id the least text counts. Without trusted text there is
-    no model and everything is kept. The model's n-grams, of all orders and languages, are at
-    most 2 * order * sample_bytes, and in plain text a small part of that.
+    no model and everything is kept. The driver and each Python worker hold the different
+    n-grams of all orders and languages.
     """
     spark = docs.sparkSession
     prepare(spark)
     trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col(key).isNotNull()).select(F.col(key).alias("__id")).distinct()
-    drawn = trusted.orderBy(F.xxhash64("__id"), "__id").limit(2 * settings.sample)
-    half = drawn.withColumn("__test", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)) == 0)
-    # at most 2 * sample ids, so small enough to meet the documents where they are; of the rows of one id, one
-    drawn_docs = docs.select(F.col(key).alias("__id"), F.struct(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")).alias("d")).join(F.broadcast(half), "__id")
-    drawn_docs = drawn_docs.groupBy("__id", "__test").agg(F.min("d").alias("d")).select("__id", "__test", "d.*")
-    begun = F.sum(F.octet_length("text")).over(Window.partitionBy("__test").orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, -1))
+    if settings.sample is not None:
+        trusted = trusted.orderBy(F.xxhash64("__id"), "__id").limit(2 * settings.sample)
+    rows = docs.select(F.col(key).alias("__id"), F.struct(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")).alias("d"))
+    # of the rows of one id, one
+    rows = _sieve(rows, trusted, "__id").join(trusted, "__id").groupBy("__id").agg(F.min("d").alias("d"))
     path = scratch(spark, "trusted")
-    drawn_docs.withColumn("__begun", F.coalesce(begun, F.lit(0))).repartition(SAMPLE_TASKS).write.option("compression", "zstd").parquet(path)
+    rows.select("d.*", (F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)) == 0).alias("__test")).write.option("compression", "zstd").parquet(path)
     sample = spark.read.parquet(path)
     languages = [r.lang for r in sample.where("lang <> ''").groupBy("lang").count().where(F.col("count") >= settings.least_held_out).collect()]
     own = F.when(F.col("lang").isin(languages), F.col("lang")).otherwise(F.lit("")) if languages else F.lit("")
-    train = sample.where((~F.col("__test")) & (F.col("__begun") < settings.sample_bytes))
     order = settings.order
-    own_counts = train.select(own.alias("lang"), "text").mapInArrow(_count(order), "lang string, key long, n long")
+    own_counts = sample.where("NOT __test").select(own.alias("lang"), "text").mapInArrow(_count(order), "lang string, key long, n long")
     own_counts = cut(own_counts.groupBy("lang", "key").agg(F.sum("n").alias("n")))
     # '' is the model of all languages together
     pooled = own_counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "key", "n")
     counts = cut(own_counts.where("lang <> ''").unionByName(pooled))
-    models = _models(estimates(counts, order).toArrow(), order)
+    models = _models(_gathered(estimates(counts, order)), order)
     found = Classifier(spark.sparkContext.broadcast(models), {}, settings)
-    held: dict[str, list[float]] = {}
-    every: list[float] = []
-    scored = scores(sample.select(F.struct("__id", "__test").alias("__id"), "text", "lang"), found, "__id", "text", "lang", carry=True)
-    for r in scored.where(F.col("n_bytes") >= settings.min_bytes).select("__id.__test", "lang", "bits").where("bits is not null").collect():
-        every.append(r.bits)
-        for one in {r.lang if r.lang in models else "", ""} if r["__test"] else ():
-            held.setdefault(one, []).append(r.bits)
-    found.most = {k: float(np.quantile(v, settings.quantile)) for k, v in held.items() if len(v) >= settings.least_held_out}
-    if every and "" not in found.most:
-        found.most[""] = float(np.mean(every) + 4 * np.std(every))
+    scored = scratch(spark, "trusted-bits")
+
+    def bits(chosen: DataFrame) -> DataFrame:
+        return scores(chosen, found, "__test", "text", "lang", carry=True).where((F.col("n_bytes") >= settings.min_bytes) & F.col("bits").isNotNull())
+
+    bits(sample.where("__test")).select(F.when(F.col("lang").isin(list(models)), F.col("lang")).otherwise(F.lit("")).alias("lang"), "bits").write.parquet(scored)
+    held = spark.read.parquet(scored)
+    held = held.select(F.explode(F.array_distinct(F.array("lang", F.lit("")))).alias("lang"), "bits")
+    found.most = quantiles(held, settings.quantile, settings.least_held_out)
+    if "" not in found.most:
+        every = bits(sample).agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("deviation")).first()
+        if every.mean is not None:
+            found.most[""] = every.mean + 4 * every.deviation
     remove(spark, path)
+    remove(spark, scored)
     return found
 
 
-def _models(rows: pa.Table, order: int) -> dict[str, Model]:
+def quantiles(rows: DataFrame, q: float, least: int) -> dict[str, float]:
+    """The exact quantile of the bits of each lang of rows (lang, bits) that has at least so many.
+
+    The two values beside the quantile are found by counting ranges of bits, then ranges of the
+    ranges they lie in, then values: what is collected does not grow with the rows.
+    """
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= least).collect()}
+    at = {name: (n - 1) * q for name, n in sizes.items()}
+    # lang and rank: the range it lies in, and its rank there
+    places = {(name, rank): (0.0, rank) for name, x in at.items() for rank in {int(x), min(int(x) + 1, sizes[name] - 1)}}
+    within = F.lit(0.0)
+    for digit in (F.floor(F.col("bits") * 256).cast("double"), F.floor(F.col("bits") * (1 << 20)).cast("double"), F.col("bits")) if places else ():
+        asked = rows.sparkSession.createDataFrame(sorted({(name, low) for (name, _), (low, _) in places.items()}), "lang string, low double")
+        counted: dict[tuple[str, float], list[tuple[float, int]]] = {}
+        for r in rows.withColumn("low", within).join(F.broadcast(asked), ["lang", "low"]).groupBy("lang", "low", digit.alias("digit")).count().collect():
+            counted.setdefault((r["lang"], r["low"]), []).append((r["digit"], r["count"]))
+        for (name, rank), (low, left) in places.items():
+            for value, n in sorted(counted[name, low]):
+                if left < n:
+                    places[name, rank] = (value, left)
+                    break
+                left -= n
+        within = digit
+    value = {k: v for k, (v, _) in places.items()}
+    return {name: value[name, int(x)] + (x - int(x)) * (value[name, min(int(x) + 1, sizes[name] - 1)] - value[name, int(x)]) for name, x in at.items()}
+
+
+def _gathered(rows: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, ...]]:
+    """Keys, alphas and weights by language and order, a partition at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not len(table):
+            return
+        langs = table["lang"].combine_chunks().dictionary_encode()
+        where, level = np.asarray(langs.indices), np.asarray(table["order"])
+        parts = []
+        for i, name in enumerate(langs.dictionary.to_pylist()):
+            for k in np.unique(level[where == i]).tolist():
+                mine = np.flatnonzero((where == i) & (level == k))
+                parts.append((name, k, np.asarray(table["key"])[mine].tobytes(), *(np.asarray(table[c])[mine].astype(np.float32).tobytes() for c in ("alpha", "weight"))))
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*parts), kinds)], names=["lang", "order", "key", "alpha", "weight"])
+
+    found: dict[tuple[str, int], list] = {}
+    for r in cut(rows.mapInArrow(run, "lang string, order int, key binary, alpha binary, weight binary")).toLocalIterator():
+        found.setdefault((r["lang"], r["order"]), []).append((np.frombuffer(r["key"], np.int64), np.frombuffer(r["alpha"], np.float32), np.frombuffer(r["weight"], np.float32)))
+    return {k: tuple(map(np.concatenate, zip(*parts))) for k, parts in found.items()}
+
+
+def _models(found: dict[tuple[str, int], tuple[np.ndarray, ...]], order: int) -> dict[str, Model]:
     """Interpolates the estimates, order by order, and puts each language's into tables."""
-    langs = rows["lang"].combine_chunks().dictionary_encode()
-    where, level, keys = np.asarray(langs.indices), np.asarray(rows["order"]), np.asarray(rows["key"])
-    alpha, weight = np.asarray(rows["alpha"]), np.asarray(rows["weight"])
     made = {}
-    for i, name in enumerate(langs.dictionary.to_pylist()):
+    for name in sorted({name for name, _ in found}):
         p, back = [Table(np.zeros(0, np.int64), np.zeros(0, np.float32))], []
         below_keys, below = np.zeros(0, np.int64), np.zeros(0)
         for k in range(1, order + 1):
-            mine = np.flatnonzero((where == i) & (level == k))
-            mine = mine[np.argsort(keys[mine])]
-            own = keys[mine]
+            own, alpha, weight = found.pop((name, k))
+            by_key = np.argsort(own)
+            own, alpha, weight = own[by_key], alpha[by_key].astype(np.float64), weight[by_key].astype(np.float64)
             lower = below[np.searchsorted(below_keys, shorter(own, k))] if k > 1 else 1 / 256
-            below_keys, below = own, alpha[mine] + weight[mine] * lower
+            below_keys, below = own, alpha + weight * lower
             p.append(Table(own, np.log2(below).astype(np.float32)))
             contexts, first = np.unique(own >> 8, return_index=True)
-            back.append(Table(contexts, np.log2(weight[mine][first]).astype(np.float32)))
+            back.append(Table(contexts, np.log2(weight[first]).astype(np.float32)))
         made[name] = Model(order, p, back)
     return made
 
@@ -293,7 +385,7 @@ def scores(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t, g, models.value, most, settings) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            rows = judged(batch.column(1).to_pylist(), batch.column(2).to_pylist(), models.value, most, settings)
             columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())]
             columns += [pa.array([None if r[1] is None else 2 ** r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(2)] * carry, names=[f.name for f in fields])
@@ -307,7 +399,7 @@ def quality_filter(docs: DataFrame, classifier: Classifier, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist())
-            yield batch.filter(pa.array([judge(t, g, models.value, most, settings)[2] for t, g in pairs], pa.bool_()))
+            rows = judged(batch.column(text).to_pylist(), batch.column(lang).to_pylist(), models.value, most, settings)
+            yield batch.filter(pa.array([r[2] for r in rows], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -502,6 +502,42 @@ def test_classifier_keeps_prose_and_drops_junk(trusted, docs, nothing, spark):
     assert all(r["kept"] for r in rows(kneser_ney.scores(docs, nobody)))
 
 
+def test_every_trusted_document_trains_or_sets_the_limit(spark):
+    """More trusted documents than any sample: all n-grams of one half are known, and the limits are the other half's own."""
+    n = 13_000
+    texts = [f"{i:05d} {'the ion of and' if i % 5 else 'der und ist die'} {i * 7919 % n:05d} " * 5 for i in range(n)]
+    frame = spark.createDataFrame([(i, t, "en" if i % 5 else "de") for i, t in enumerate(texts)] + [(0, "~", "en")], "doc_id long, text string, lang string")
+    labels = frame.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    found = kneser_ney.fit(frame, labels)
+    held = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).select("doc_id").collect()}
+    models = found.models.value
+    assert all(models["en" if i % 5 else "de"].p[5].get(kneser_ney.grams(kneser_ney.text_bytes(t), 5))[1].all() for i, t in enumerate(texts) if i not in held)
+    bits = {i: models["en" if i % 5 else "de"].bits(kneser_ney.text_bytes(texts[i])).mean() for i in held}
+    own = {"en": [b for i, b in bits.items() if i % 5], "de": [b for i, b in bits.items() if i % 5 == 0], "": list(bits.values())}
+    assert found.most == {k: pytest.approx(np.quantile(v, 0.995), rel=1e-9) for k, v in own.items()}
+
+
+def test_quantiles_are_exact(spark):
+    draw = np.random.default_rng(5)
+    given = {"a": draw.random(999) * 9, "b": draw.integers(0, 3, 400) / 7.0, "c": np.array([2.5]), "d": 3 + draw.random(700) / (1 << 22), "few": draw.random(0)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in given.items() for x in v], "lang string, bits double")
+    for q in (0.0, 0.5, 0.995, 1.0):
+        assert kneser_ney.quantiles(rows, q, 1) == {k: pytest.approx(np.quantile(v, q), rel=1e-15) for k, v in given.items() if len(v)}
+    assert set(kneser_ney.quantiles(rows, 0.5, 500)) == {"a", "d"} and kneser_ney.quantiles(rows, 0.5, 1000) == {}
+
+
+def test_texts_are_looked_up_together_as_alone(trusted):
+    frame, labels = trusted
+    found = kneser_ney.fit(frame, labels)
+    texts = [prose(i, 1 + i * i % 900) for i in range(90)] + [None, "", "x", prose(5, 20_000), "\x00\x00", "é" * 3]
+    langs = [("en", "fr", None, "xx", "")[i % 5] for i in range(len(texts))]
+    for (n, bits, kept), text, lang in zip(kneser_ney.judged(texts, langs, found.models.value, found.most, found.settings), texts, langs):
+        codes = kneser_ney.text_bytes(text)
+        alone = found.models.value[lang if lang in ("en", "fr") else ""].bits(codes).mean() if len(codes) else None
+        assert n == len(codes) and bits == (None if alone is None else pytest.approx(alone, rel=1e-9))
+        assert kept == (n < 100 or alone <= found.most[lang if lang in ("en", "fr") else ""] + 0.02 + 150 / n)
+
+
 def test_open_addressing():
     keys = np.unique(np.random.default_rng(0).integers(1, 1 << 40, 5000))
     table = kneser_ney.Table(keys, np.arange(len(keys), dtype=np.float32))
